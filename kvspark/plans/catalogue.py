@@ -1,4 +1,422 @@
-"""Registered queries over the supplied tables."""
+"""Registered queries: each of the reference's operators over the supplied tables, with DuckDB SQL that must agree.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Mappings: ``events`` is a mutation log (key user_id as text, version event_id,
+``error`` deletes, ``signup`` is a COMMIT marker where a log is replayed and a put
+elsewhere, the rest put ``value``). ``customer`` is keyed by c_name, ``pages`` by
+url, ``orders`` by the zero-padded o_orderkey, ``conversations`` by conv_id:turn.
+Keys are shown as text.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import bounds as B, values as V
+from ..operators import access, resolve
+from ..sources import runs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Keys that the lookups ask for: present, deleted and absent ones, one of them twice.
+ASKED = ["7", "none", "42", "7", "12", "-1", "99", "3"]
+LAYER_EVENTS = 1000
+
+
+def query(sql: str | None = None):
+    """Register a query, and its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _binary(text: str) -> F.Column:
+    return F.col(text).cast("string").cast("binary")
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, op, value (double), cv, ord of every event."""
+    op = F.when(F.col("event_type") == "error", V.DELETE).otherwise(V.PUT)
+    return read(spark, sf_dir, "events").select(
+        _binary("user_id").alias("key"), op.alias("op"), F.when(op == V.PUT, F.col("value")).alias("value"), F.col("event_id").alias("cv"), F.lit(0).alias("ord")
+    )
+
+
+def with_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", V.DELETE).when(F.col("event_type") == "signup", "C").otherwise(V.PUT)
+    return e.select(_binary("user_id").alias("key"), op.alias("op"), F.when(op == V.PUT, F.col("value")).alias("value"), F.col("event_id").alias("cv"), F.lit(0).alias("ord"))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(_binary("c_name").alias("key"), F.col("c_acctbal").alias("value"))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.col("key").cast("string"))
+
+
+_LOG = "log AS (SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS op, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, event_id FROM events)"
+_MARKED = "log AS (SELECT CAST(user_id AS VARCHAR) AS key, CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'C' ELSE 'P' END AS op, CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE value END AS value, event_id FROM events)"
+_NEWEST = "newest AS (SELECT key, e.op AS op, e.value AS value FROM (SELECT key, arg_max({'op': op, 'value': value}, event_id) AS e FROM log GROUP BY key))"
+_STATE = f"{_LOG}, {_NEWEST}, state AS (SELECT key, value FROM newest WHERE op = 'P')"
+_CUSTOMERS = "state AS (SELECT c_name AS key, c_acctbal AS value FROM customer)"
+_ASKED = "asked(pos, key) AS (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(ASKED)) + ")"
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.state(event_log(spark, sf_dir))
+
+
+# --- resolution ---------------------------------------------------------------
+
+
+@query(f"WITH {_STATE} SELECT * FROM state")
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(access.scan(_state(spark, sf_dir)))
+
+
+@query(f"WITH {_LOG}, {_NEWEST} SELECT * FROM newest")
+def newest_entry_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(resolve.newest(event_log(spark, sf_dir)))
+
+
+@query(f"WITH {_LOG}, {_NEWEST} SELECT * FROM newest")
+def newest_entry_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(resolve.by_rank(event_log(spark, sf_dir)))
+
+
+@query(f"WITH {_LOG}, {_NEWEST} SELECT key FROM newest WHERE op = 'D'")
+def deleted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(resolve.newest(event_log(spark, sf_dir)).filter(resolve.is_deleted()).select("key"))
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_log(spark, sf_dir).withColumn("layer", F.floor(F.col("cv") / LAYER_EVENTS))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state")
+def layer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each layer is resolved by itself, then the newest layer wins."""
+    inside = _layers(spark, sf_dir).groupBy("key", "layer").agg(F.max_by(F.struct("op", "value"), "cv").alias("e"))
+    return shown(resolve.state(inside.select("key", "e.op", "e.value", F.col("layer").alias("cv"), F.lit(0).alias("ord"))))
+
+
+# --- access paths ---------------------------------------------------------------
+
+
+def _point(key: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        asked = spark.createDataFrame([(key.encode(),)], "key binary")
+        return shown(asked.join(access.get(_state(spark, sf_dir), key.encode()), "key", "left"))
+
+    return f
+
+
+def _register_points() -> None:
+    for name, key in (("point_get", "7"), ("point_get_absent", "no such key")):
+        QUERIES[name] = _point(key)
+        ORACLE_SQL[name] = f"WITH {_STATE} SELECT a.key, s.value FROM (SELECT '{key}' AS key) a LEFT JOIN state s ON a.key = s.key"
+
+
+_register_points()
+
+
+@query(f"WITH {_LOG}, {_NEWEST} SELECT d.key, s.value FROM (SELECT min(key) AS key FROM newest WHERE op = 'D') d LEFT JOIN (SELECT * FROM newest WHERE op = 'P') s ON d.key = s.key")
+def point_get_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = resolve.newest(event_log(spark, sf_dir))
+    gone = entries.filter(resolve.is_deleted()).agg(F.min("key").alias("key"))
+    return shown(gone.join(resolve.live(entries), "key", "left"))
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, bytearray(k.encode())) for i, k in enumerate(ASKED)], "pos int, key binary")
+
+
+@query(f"WITH {_STATE}, {_ASKED} SELECT CAST(pos AS INTEGER) AS pos, key, EXISTS (SELECT 1 FROM state s WHERE s.key = a.key) AS found FROM asked a")
+def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(access.contains(_state(spark, sf_dir), _requests(spark))).select("pos", "key", "found")
+
+
+@query(f"WITH {_STATE}, {_ASKED} SELECT CAST(pos AS INTEGER) AS pos, a.key, s.value FROM asked a LEFT JOIN state s ON a.key = s.key")
+def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(access.multi_get(_state(spark, sf_dir), [k.encode() for k in ASKED]))
+
+
+@query(f"WITH {_STATE} SELECT s.key, s.value, CAST(a.pos AS BIGINT) AS pos FROM (SELECT event_id AS pos, CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'view') a LEFT JOIN state s ON a.key = s.key WHERE s.key IS NOT NULL")
+def multi_get_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each view event: any number of requests, planned by their size."""
+    asked = read(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("event_id").alias("pos"), _binary("user_id").alias("key"))
+    return shown(access.multi_get_df(_state(spark, sf_dir), asked).filter("value is not null"))
+
+
+@query("SELECT url AS key, sha256(html) AS value FROM pages")
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").select(_binary("url").alias("key"), F.sha2("html", 256).alias("value"))
+    return shown(access.scan(p))
+
+
+@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS key, o_totalprice AS value FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 250")
+def range_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").cast("binary").alias("key"), F.col("o_totalprice").alias("value"))
+    return shown(access.half_open(o, b"%012d" % 100, b"%012d" % 250))
+
+
+LOW, HIGH = "Customer#000000040", "Customer#000000090"
+
+
+def _range(low: str, high: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shown(access.scan_range(customers(spark, sf_dir), B.Bound(low, LOW.encode()), B.Bound(high, HIGH.encode())))
+
+    return f
+
+
+def _register_ranges() -> None:
+    above = {B.UNBOUNDED: "TRUE", B.INCLUDED: f"key >= '{LOW}'", B.EXCLUDED: f"key > '{LOW}'"}
+    below = {B.UNBOUNDED: "TRUE", B.INCLUDED: f"key <= '{HIGH}'", B.EXCLUDED: f"key < '{HIGH}'"}
+    for low in above:
+        for high in below:
+            name = f"range_bounds_{low}_{high}"
+            QUERIES[name] = _range(low, high)
+            ORACLE_SQL[name] = f"WITH {_CUSTOMERS} SELECT * FROM state WHERE {above[low]} AND {below[high]}"
+
+
+_register_ranges()
+
+
+@query(f"WITH {_CUSTOMERS} SELECT count(*) AS n FROM state WHERE key >= 'z' AND key < 'a'")
+def range_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.half_open(customers(spark, sf_dir), b"z", b"a").agg(F.count("*").alias("n"))
+
+
+def _prefix(prefix: bytes):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shown(access.scan_prefix(customers(spark, sf_dir), prefix))
+
+    return f
+
+
+def _register_prefixes() -> None:
+    for name, p in (("prefix_scan", "Customer#00000010"), ("prefix_empty", "")):
+        QUERIES[name] = _prefix(p.encode())
+        ORACLE_SQL[name] = f"WITH {_CUSTOMERS} SELECT * FROM state WHERE starts_with(key, '{p}')"
+
+
+_register_prefixes()
+
+
+@query("SELECT upper(hex(encode('k' || conv_id))) || 'FF' AS key, count(*) AS n FROM conversations WHERE conv_id % 10 = 3 GROUP BY conv_id")
+def prefix_ff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of raw bytes: a prefix of 0xFF only has no upper bound."""
+    c = read(spark, sf_dir, "conversations")
+    stem = F.concat(F.lit("k"), F.col("conv_id").cast("string")).cast("binary")
+    low = F.when(F.col("conv_id") % 10 == 3, F.lit(b"\xff\xff")).otherwise(F.lit(b"\xfe\xff"))
+    keyed = c.groupBy("conv_id").agg(F.count("*").alias("n")).select(F.concat(low, stem).alias("key"), "n")
+    found = access.scan_prefix(keyed.withColumnRenamed("n", "value"), b"\xff\xff")
+    return found.select(F.concat(F.hex(F.expr("substring(key, 3)")), F.lit("FF")).alias("key"), F.col("value").alias("n"))
+
+
+@query("SELECT conv_id, turn, role AS value FROM conversations WHERE conv_id = 12")
+def prefix_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").cast("binary").alias("key"), F.col("role").alias("value"))
+    parts = F.split(F.col("key").cast("string"), ":")
+    return access.scan_prefix(c, b"12:").select(parts[0].cast("bigint").alias("conv_id"), parts[1].cast("bigint").alias("turn"), "value")
+
+
+# --- transactions and batches ---------------------------------------------------
+
+
+def _own(spark: SparkSession) -> DataFrame:
+    rows = [(bytearray(b"7"), "P", 1.5, 0), (bytearray(b"12"), "D", None, 1), (bytearray(b"new"), "P", 2.5, 2), (bytearray(b"7"), "P", 3.5, 3)]
+    return spark.createDataFrame(rows, "key binary, op string, value double, ord int").withColumn("cv", F.lit(0))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state WHERE key NOT IN ('7', '12', 'new') UNION ALL VALUES ('7', 3.5::DOUBLE), ('new', 2.5::DOUBLE)")
+def txn_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read-your-writes: puts, a deletion and an overwrite over a snapshot."""
+    return shown(resolve.state(resolve.overlay(event_log(spark, sf_dir), _own(spark)), "over", "at"))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state WHERE key NOT IN ('7', '12', 'new') UNION ALL VALUES ('7', 3.5::DOUBLE), ('new', 2.5::DOUBLE)")
+def txn_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch committed, as a newer layer."""
+    own = resolve.last_per_key(_own(spark))
+    return shown(resolve.state(resolve.layered(resolve.newest(event_log(spark, sf_dir)), own)))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state")
+def txn_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(resolve.state(resolve.overlay(event_log(spark, sf_dir), _own(spark).limit(0)), "over", "at"))
+
+
+@query("WITH b(key, value, ord) AS (SELECT CAST(user_id % 10 AS VARCHAR), value, event_id FROM events) SELECT key, arg_max({'v': value}, ord).v AS value FROM b GROUP BY key")
+def put_batch_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 10).cast("string").cast("binary").alias("key"), F.lit(V.PUT).alias("op"), "value", F.col("event_id").alias("ord"))
+    return shown(resolve.last_per_key(e).select("key", "value"))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state WHERE key NOT IN ('7', 'no such key')")
+def delete_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = spark.createDataFrame([(bytearray(b"7"), "D", None), (bytearray(b"no such key"), "D", None)], "key binary, op string, value double")
+    return shown(resolve.state(resolve.layered(resolve.newest(event_log(spark, sf_dir)), once, once)))
+
+
+# --- the log --------------------------------------------------------------------
+
+
+@query(f"WITH {_MARKED}, cut AS (SELECT max(event_id) AS c FROM log WHERE op = 'C'), kept AS (SELECT * FROM log, cut WHERE op <> 'C' AND event_id <= c) SELECT key, e.value AS value FROM (SELECT key, arg_max({{'op': op, 'value': value}}, event_id) AS e FROM kept GROUP BY key) WHERE e.op = 'P'")
+def committed_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(resolve.state(resolve.committed(with_markers(spark, sf_dir), "cv", F.col("op") == "C")))
+
+
+@query(f"WITH {_MARKED}, cut AS (SELECT max(event_id) AS c FROM log WHERE op = 'C') SELECT key, op, value, event_id AS cv FROM log, cut WHERE op <> 'C' AND event_id > c")
+def uncommitted_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(resolve.uncommitted(with_markers(spark, sf_dir), "cv", F.col("op") == "C")).drop("ord")
+
+
+@query(f"WITH {_MARKED} SELECT key, op, value, event_id AS cv FROM log")
+def wal_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(with_markers(spark, sf_dir)).drop("ord")
+
+
+@query("SELECT user_id, count(*) AS n, sum(CASE WHEN prev IS NOT NULL AND event_id <= prev THEN 1 ELSE 0 END) = 0 AS rising FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) GROUP BY user_id")
+def sequence_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions rise along each key's history; by key, so that no task holds the whole log."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("prev"))
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), (F.sum(F.when(F.col("event_id") <= F.col("prev"), 1).otherwise(0)) == 0).alias("rising"))
+
+
+# --- flush, compaction, runs ------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for a query's run: in the session's shared folder if it has one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        import uuid
+
+        return f"{base}/kvspark-{uuid.uuid4().hex}"
+    folder = tempfile.mkdtemp(prefix="kvspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def _typed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return log.withColumn("value", F.when(F.col("op") == V.PUT, V.typed("float", F.col("value"))))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state")
+def flush_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older half is flushed as a sorted run and read back under the newer half."""
+    log = _typed_log(spark, sf_dir).withColumn("half", F.col("cv") % 20000 < 5000)
+    folder = _folder(spark)
+    run = runs.write_run(log.filter("half"), folder, unique=False)
+    both = runs.read_runs(spark, folder, [run]).unionByName(log.filter("not half").drop("half"))
+    return shown(resolve.state(both).select("key", F.col("value.f").alias("value")))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state")
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers merged into one run without deletions; reading it needs no merge."""
+    folder = _folder(spark)
+    merged = resolve.live(resolve.newest(_typed_log(spark, sf_dir))).select("key", F.lit(V.PUT).alias("op"), "value", F.lit(1).alias("cv"), F.lit(0).alias("ord"))
+    run = runs.write_run(merged, folder, unique=True)
+    return shown(resolve.live(runs.read_runs(spark, folder, [run])).select("key", F.col("value.f").alias("value")))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n")
+def compact_all_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    gone = log.select("key").distinct().select("key", F.lit(V.DELETE).alias("op"), F.lit(None).cast("double").alias("value"))
+    return resolve.state(resolve.layered(resolve.newest(log), gone)).agg(F.count("*").alias("n"))
+
+
+_LAYERED = f"{_LOG}, layered AS (SELECT *, event_id // {LAYER_EVENTS} AS layer FROM log)"
+
+
+@query(f"WITH {_LAYERED} SELECT CAST(layer AS BIGINT) AS layer, min(key) AS least, max(key) AS most, count(*) AS rows FROM layered GROUP BY layer")
+def run_key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs.key_ranges(_layers(spark, sf_dir), "layer")
+    return r.select("layer", F.col("least").cast("string").alias("least"), F.col("most").cast("string").alias("most"), "rows")
+
+
+@query(f"WITH {_LAYERED}, r AS (SELECT CAST(layer AS BIGINT) AS layer, min(key) AS least, max(key) AS most FROM layered GROUP BY layer) SELECT layer, most >= '98' AND least < '985' AS overlaps FROM r")
+def runs_overlapping_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs.key_ranges(_layers(spark, sf_dir), "layer")
+    return r.select("layer", ((F.col("most") >= F.lit(b"98")) & (F.col("least") < F.lit(b"985"))).alias("overlaps"))
+
+
+@query(f"WITH {_LOG} SELECT count(DISTINCT key) AS keys, count(DISTINCT key) AS found FROM log")
+def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored key, those of deletions included, is found in the run that was written with a bloom filter."""
+    log, folder = _typed_log(spark, sf_dir), _folder(spark)
+    run = runs.write_run(log, folder, unique=False)
+    stored = runs.read_runs(spark, folder, [run]).select("key").distinct().withColumn("there", F.lit(1))
+    return log.select("key").distinct().join(stored, "key", "left").agg(F.count("*").alias("keys"), F.count("there").alias("found"))
+
+
+@query(f"WITH {_LOG} SELECT key, CAST(sum(octet_length(encode(key)) + CASE op WHEN 'P' THEN 8 ELSE 0 END) AS BIGINT) AS bytes FROM log GROUP BY key")
+def memtable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_typed_log(spark, sf_dir).withColumn("bytes", V.footprint()).groupBy("key").agg(F.sum("bytes").alias("bytes")))
+
+
+@query()
+def block_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IEEE CRC32 of each page's content."""
+    return read(spark, sf_dir, "pages").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc"))
+
+
+# --- values and catalog -------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' WHEN 2 THEN 'text' WHEN 3 THEN 'boolean' ELSE 'bytes' END AS kind, CASE WHEN event_id % 5 = 0 THEN CAST(user_id AS INTEGER) END AS i, CASE WHEN event_id % 5 = 1 THEN value END AS f, CASE WHEN event_id % 5 = 2 THEN event_type END AS t, CASE WHEN event_id % 5 = 3 THEN value > 50 END AS b, CASE WHEN event_id % 5 = 4 THEN upper(hex(encode(event_type))) END AS d FROM events")
+def typed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five kinds of cells in one struct column."""
+    e = read(spark, sf_dir, "events")
+    kinds = [("integer", F.col("user_id")), ("float", F.col("value")), ("text", F.col("event_type")), ("boolean", F.col("value") > 50), ("bytes", F.col("event_type").cast("binary"))]
+    cell = F.when(F.col("event_id") % 5 == 0, V.typed(*kinds[0]))
+    for n, k in enumerate(kinds[1:], 1):
+        cell = cell.when(F.col("event_id") % 5 == n, V.typed(*k))
+    v = e.select("event_id", cell.alias("v"))
+    return v.select("event_id", "v.kind", "v.i", "v.f", "v.t", "v.b", F.hex("v.d").alias("d"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, upper(hex(encode(arg_max(event_type, event_id)))) AS value FROM events GROUP BY user_id")
+def byte_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes interface over cells that are all bytes where visible, though not where shadowed."""
+    e = read(spark, sf_dir, "events")
+    last = e.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    visible = e.join(last.withColumn("top", F.lit(True)), ["user_id", "event_id"], "left")
+    cell = F.when(F.col("top"), V.typed("bytes", F.col("event_type").cast("binary"))).otherwise(V.typed("float", F.col("value")))
+    log = visible.select(_binary("user_id").alias("key"), F.lit(V.PUT).alias("op"), cell.alias("value"), F.col("event_id").alias("cv"), F.lit(0).alias("ord"))
+    return shown(resolve.state(log).select("key", F.hex(V.byte_view()).alias("value")))
+
+
+@query("SELECT * FROM (VALUES ('orders'), ('users 2.x')) t(table_name)")
+def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..database import Database
+
+    with tempfile.TemporaryDirectory() as folder, Database(spark, folder) as db:
+        for name in ("users 2.x", "gone", "orders"):
+            db.create_table(name)
+        db.delete_table("gone")
+        return db.tables_df()
