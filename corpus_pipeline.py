@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kvspark.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash
 from kvspark.llm.queries import MIX_SEED, OTHER, TARGETS, table
-from kvspark.llm.work import shared_dir
+from kvspark.llm.work import removed, shared_dir
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's output is written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``; each stage's output is written as Parquet in the shared folder and read again.
+
+    A stage's output is removed once its successor's is written.
+    """
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = f"{base}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            removed(spark, f"{base}/{k - 1}")
     return docs

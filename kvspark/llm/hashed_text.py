@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import vectext as vt
+from .work import texts
 
 BUCKETS = 1 << 16
 FAMILIES = 3
@@ -66,9 +67,9 @@ def scores(s: vt.Slice, starts: np.ndarray, ends: np.ndarray, w: np.ndarray) ->
     return total
 
 
-def sparse_rows(texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+def sparse_rows(column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
     """(int32 columns, float32 shares) of each document, as raw bytes."""
-    for s in vt.slices(texts):
+    for s in vt.slices(column):
         starts, ends = word_spans(s)
         fam = grams(s, starts, ends)
         for i in range(s.n):
@@ -97,7 +98,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, values:
         chosen = top if chosen is None else chosen.unionByName(top)
     chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y"))
     # at most per_value * len(values) rows of 12 bytes: bounded by parameters
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

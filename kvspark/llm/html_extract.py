@@ -170,6 +170,8 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     if not x or not y:
         mid = []
+    elif len(x) == 1:
+        mid = [(0, y.index(x[0]))] if x[0] in y else []
     elif len(x) * len(y) <= MAX_BITS:
         table, i, j, mid = _rows(x, y), len(x) - 1, len(y) - 1, []
         while i >= 0 and j >= 0:
@@ -190,16 +192,29 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in mid] + ends
 
 
+def differenced(own: list[tuple[str, str]], other: list[tuple[str, str]] | None) -> set[int]:
+    """Which lines of a page its nearest page doesn't share."""
+    if not other:
+        return set(range(len(own)))
+    number: dict[str, int] = {}
+    a, b = ([number.setdefault(t, len(number)) for _, t in page] for page in (own, other))
+    return set(range(len(own))) - {i for i, _ in common(a, b)}
+
+
 def main_text(own: list[tuple[str, str]], other: list[tuple[str, str]] | None) -> str:
-    """The page's main text, given the lines of its nearest page."""
-    shared: set[int] = set()
-    if other:
-        number: dict[str, int] = {}
-        a, b = ([number.setdefault(t, len(number)) for _, t in page] for page in (own, other))
-        shared = {i for i, _ in common(a, b)}
+    """The page's main text, given the lines of its nearest page.
+
+    The lines that differencing left, held against the markup: template lines that
+    no neighbour shares go too, and lines of the article that a neighbour shares (as
+    copies of the article do) come back.
+    """
+    left = differenced(own, other)
     has_article = any(p == ARTICLE for p, _ in own)
-    kept = [t for i, (p, t) in enumerate(own) if (p == ARTICLE if has_article else p == PLAIN and i not in shared)]
-    return "\n".join(kept)
+    if has_article:
+        left = {i for i in left if own[i][0] == ARTICLE} | {i for i, (p, _) in enumerate(own) if p == ARTICLE}
+    else:
+        left = {i for i in left if own[i][0] == PLAIN}
+    return "\n".join(own[i][1] for i in sorted(left))
 
 
 def _prefix(a: str, b: str) -> int:

@@ -37,10 +37,15 @@ def uniform(seed: int, *cols: str) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << BITS))
 
 
-def rates(docs: DataFrame, targets: dict[str, float], other: float, source: str = "source") -> DataFrame:
-    """mix_group, whole, cdf: a row a group, len(targets) + 1 at most."""
+def _keyed(docs: DataFrame, targets: dict[str, float], source: str, key: str) -> DataFrame:
+    """mix_row (the whole row, so no column's name can clash), mix_own (its group), mix_key."""
     group = F.when(F.col(source).isin(list(targets)), F.col(source)).otherwise(F.lit(None).cast("string"))
-    sizes = docs.groupBy(group.alias("mix_group")).agg(F.count("*").alias("n"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), group.alias("mix_own"), F.col(key).alias("mix_key"))
+
+
+def rates(groups: DataFrame, targets: dict[str, float], other: float) -> DataFrame:
+    """mix_group, whole, cdf from the column mix_own: a row a group, len(targets) + 1 at most."""
+    sizes = groups.groupBy(F.col("mix_own").alias("mix_group")).agg(F.count("*").alias("n"))
     weight = F.lit(float(other))
     for name, w in targets.items():
         weight = F.when(F.col("mix_group") == name, F.lit(float(w))).otherwise(weight)
@@ -61,23 +66,25 @@ def rates(docs: DataFrame, targets: dict[str, float], other: float, source: str
     return rated.withColumn("whole", whole).select("mix_group", "whole", cdf.alias("cdf"))
 
 
-def counted(docs: DataFrame, targets: dict[str, float], other: float, seed: int, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """``docs`` with mix_copies, the number of times each row is to appear."""
-    group = F.when(F.col(source).isin(list(targets)), F.col(source)).otherwise(F.lit(None).cast("string"))
+def _counted(docs: DataFrame, targets: dict[str, float], other: float, seed: int, source: str, key: str) -> DataFrame:
+    keyed = _keyed(docs, targets, source, key)
     # len(targets) + 1 rows of 1.1 kB: bounded by a parameter
-    by_group = F.broadcast(rates(docs, targets, other, source))
-    joined = docs.withColumn("mix_own", group).join(by_group, F.col("mix_own").eqNullSafe(F.col("mix_group")))
-    u = uniform(seed, key)
+    by_group = F.broadcast(rates(keyed.select("mix_own"), targets, other))
+    joined = keyed.join(by_group, F.col("mix_own").eqNullSafe(F.col("mix_group"))).withColumn("mix_u", uniform(seed, "mix_key"))
     drawn = F.size(F.filter("cdf", lambda c: c < F.col("mix_u")))
-    return joined.withColumn("mix_u", u).withColumn("mix_copies", F.col("whole").cast("int") + drawn).drop("mix_own", "mix_group", "whole", "cdf", "mix_u")
+    return joined.select("mix_row", "mix_key", (F.col("whole").cast("int") + drawn).alias("mix_copies"))
+
+
+def counted(docs: DataFrame, targets: dict[str, float], other: float, seed: int, source: str = "source", key: str = "doc_id") -> DataFrame:
+    """``docs`` with mix_copies, the number of times each row is to appear."""
+    return _counted(docs, targets, other, seed, source, key).select("mix_row.*", "mix_copies")
 
 
 def mix(docs: DataFrame, targets: dict[str, float], other: float, seed: int = 1, source: str = "source", key: str = "doc_id", copy_col: str | None = None) -> DataFrame:
     """The mixed corpus, globally shuffled, with the columns of ``docs``; ``copy_col`` names the copy's number, from 1."""
-    n = counted(docs, targets, other, seed, source, key).filter("mix_copies > 0")
-    copies = n.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).drop("mix_copies")
-    place = F.xxhash64(F.lit(seed), F.col(key), F.col("mix_copy"))
-    order = F.xxhash64(F.lit(seed + 1), F.col(key), F.col("mix_copy"))
+    n = _counted(docs, targets, other, seed, source, key).filter("mix_copies > 0")
+    copies = n.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    place = F.xxhash64(F.lit(seed), F.col("mix_key"), F.col("mix_copy"))
+    order = F.xxhash64(F.lit(seed + 1), F.col("mix_key"), F.col("mix_copy"))
     dealt = copies.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions(order)
-    kept = [F.col(c) for c in docs.columns]
-    return dealt.select(*kept, *([F.col("mix_copy").alias(copy_col)] if copy_col else []))
+    return dealt.select("mix_row.*", *([F.col("mix_copy").alias(copy_col)] if copy_col else []))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import hashed_text as ht, vectext as vt
+from .work import texts
 
 GRADES = 3
 #: A document is kept if it has this grade or a better one with at least this probability.
@@ -88,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, per_gra
 
 def score(docs: DataFrame, model: OrdinalModel, select_from: float = SELECT_FROM) -> DataFrame:
     """doc_id, expected_grade, p_tail (of SELECT_GRADE), p_best (of the best grade), kept. One scan, no shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(
+    return texts(docs).mapInArrow(
         _worker(docs, model, select_from, True), "doc_id bigint, expected_grade double, p_tail double, p_best double, kept boolean"
     )
 

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashed_text as ht, vectext as vt
+from .work import texts
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
 
 def judge(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, the counts, base_failed, quality (probability, null without a model), kept. One scan, no shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(
+    return texts(docs).mapInArrow(
         _worker(docs, model, keep_from, True),
         "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, quality double, kept boolean",
     )

@@ -31,9 +31,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import vectext as vt
+from .work import texts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
@@ -316,7 +317,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, dropout: float = DROPO
                     ["doc_id", "n_tokens", "ids", "lossless"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n_tokens bigint, ids array<int>, lossless boolean")
+    return texts(docs).mapInArrow(work, "doc_id bigint, n_tokens bigint, ids array<int>, lossless boolean")
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -329,7 +330,7 @@ def decode(tokens: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             raw, at = decode_ids(v, flat, off)
-            texts = [raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            out = [raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(work, "doc_id bigint, text string")
+    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(work, "doc_id bigint, text string")

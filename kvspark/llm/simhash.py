@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from . import vectext as vt
-from .work import saved
+from .work import saved, texts
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 3
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [fingerprint(data[i:j].tobytes()) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, fp bigint")
+    return texts(docs).mapInArrow(work, "doc_id bigint, fp bigint")
 
 
 def _choices() -> list[tuple[int, list[int]]]:

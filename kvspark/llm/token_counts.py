@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .work import saved, shared_dir
+from .work import removed, saved, shared_dir, texts
 
 #: A public byte-level BPE as ranks, and the id that it leaves free.
 RANKS_PATH, SEPARATOR = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
@@ -81,7 +81,7 @@ def write_flat(docs: DataFrame, path: str, ranks_path: str = RANKS_PATH, separat
         if held:
             yield row(block, np.concatenate(parts).tobytes(), None, None)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(work, "file bigint, block bigint, tokens binary, first bigint, doc_ids array<bigint>")
+    rows = texts(docs).mapInArrow(work, "file bigint, block bigint, tokens binary, first bigint, doc_ids array<bigint>")
     rows.write.option("compression", "zstd").parquet(path)
     back = docs.sparkSession.read.parquet(path)
     order = back.filter("block is null").select("file", "first", F.posexplode("doc_ids").alias("at", "doc_id"))
@@ -158,7 +158,10 @@ def stitch(found: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, file, ordinal, n_tokens: encodes ``docs`` to flat files in the shared folder and scans those."""
     spark = docs.sparkSession
-    blocks, order = write_flat(docs, f"{shared_dir(spark)}/kvspark-flat-{uuid.uuid4().hex}")
-    # the summaries are read by both levels of the prefix scan
-    counts = stitch(saved(scan(blocks)))
+    path = f"{shared_dir(spark)}/kvspark-flat-{uuid.uuid4().hex}"
+    blocks, order = write_flat(docs, path)
+    # the summaries are read by both levels of the prefix scan; with them and the manifest kept, the files can go
+    found, order = saved(scan(blocks)), saved(order)
+    removed(spark, path)
+    counts = stitch(found)
     return order.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")

@@ -27,16 +27,21 @@ scores beyond a long at the long's limits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .work import saved
+
 
 SCALE = 1024
 DIM_BLOCK = 16
 QUERY_BLOCK = 1024
 QUERY_BYTES = 16 << 20
+#: Query blocks that one plan holds; their results are then saved.
+BLOCKS_AT_ONCE = 32
 #: Candidates of a task that are held in vertical layout at a time, by components.
 CHUNK_COMPONENTS = 1 << 20
 _LIMIT = float(1 << 52)
@@ -146,12 +151,22 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     asked = table.filter(is_query).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = asked.filter("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     one_each = usable.groupBy("id").agg(F.min("v").alias("v"))
-    parts = None
+    done: list[DataFrame] = []
+    parts: list[DataFrame] = []
     for block in _query_blocks(one_each):
-        found = rows.mapInArrow(_task(table.sparkSession.sparkContext.broadcast(block), k), "query_id bigint, vec_id bigint, score bigint")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
+        parts.append(rows.mapInArrow(_task(table.sparkSession.sparkContext.broadcast(block), k), "query_id bigint, vec_id bigint, score bigint"))
+        if len(parts) == BLOCKS_AT_ONCE:
+            done.append(saved(_merged(reduce(DataFrame.unionByName, parts), k)))
+            parts = []
+    if parts:
+        done.append(_merged(reduce(DataFrame.unionByName, parts), k))
+    if not done:
         return table.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    return reduce(DataFrame.unionByName, done)
+
+
+def _merged(parts: DataFrame, k: int) -> DataFrame:
+    """The k best of the tasks' lists of each query."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

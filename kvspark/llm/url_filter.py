@@ -138,6 +138,6 @@ def _joined(split: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     rank = F.struct(
         (F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_path").alias("b"), F.concat("r_host", "r_path").alias("rule"), (F.col("r_verdict") == BLOCK).alias("c"), F.col("r_verdict").alias("verdict")
     )
-    best = fit.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    best = fit.groupBy("host", "path").agg(F.max(rank).alias("uf_best"))
     out = split.join(best, ["host", "path"], "left")
-    return out.select(*split.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return out.select(*split.columns, F.col("uf_best.rule").alias("rule"), F.coalesce("uf_best.verdict", F.lit(default)).alias("verdict"))

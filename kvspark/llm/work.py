@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +24,14 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from the shared folder from then on."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text alone, in the types that the Arrow operators declare."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
