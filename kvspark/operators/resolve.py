@@ -23,6 +23,16 @@ def newest(log: DataFrame, *order: str) -> DataFrame:
     return log.groupBy("key").agg(F.max_by(F.struct("op", "value"), version).alias("entry")).select("key", "entry.op", "entry.value")
 
 
+def newest_versions(log: DataFrame) -> DataFrame:
+    """Like ``newest``, with the version of each entry: key, op, value, cv, ord.
+
+    Over rows already dealt by ranges of the key this needs no shuffle of its own.
+    """
+    at = F.struct("cv", "ord")
+    top = log.groupBy("key").agg(F.max_by(F.struct("op", "value"), at).alias("e"), F.max(at).alias("v"))
+    return top.select("key", "e.op", "e.value", "v.cv", "v.ord")
+
+
 def live(entries: DataFrame) -> DataFrame:
     """key, value of the entries that are not deletions. Always above ``newest``."""
     return entries.filter(F.col("op") == PUT).select("key", "value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -20,7 +21,18 @@ OPTIONS = {
 }
 
 
-def write_run(log: DataFrame, folder: str, unique: bool, partitions: int | None = None) -> Run:
+def dealt(log: DataFrame, merge: Callable[[DataFrame], DataFrame] | None = None, partitions: int | None = None) -> DataFrame:
+    """The rows of a run: dealt by ranges of the key once, then merged and sorted where they lie.
+
+    A range of keys holds all entries of its keys, so the aggregation by key of
+    ``merge`` doesn't shuffle again.
+    """
+    ranges = log.repartitionByRange(partitions, "key") if partitions else log.repartitionByRange("key")
+    rows = merge(ranges) if merge else ranges
+    return rows.select(*(F.col(c).cast(LOG[c].dataType).alias(c) for c in LOG.names))
+
+
+def write_run(log: DataFrame, folder: str, unique: bool, partitions: int | None = None, merge: Callable[[DataFrame], DataFrame] | None = None) -> Run:
     """Write a log's rows as one run. Its statistics are observed while it is written, not by another pass."""
     seen = Observation()
     statistics = (
@@ -30,10 +42,8 @@ def write_run(log: DataFrame, folder: str, unique: bool, partitions: int | None
         F.max("key").alias("most"),
         F.count_if(F.col("key").isNull()).alias("nulls"),
     )
-    rows = log.select(*(F.col(c).cast(LOG[c].dataType).alias(c) for c in LOG.names)).observe(seen, *statistics)
     name = f"runs/{uuid.uuid4().hex}"
-    sorted_rows = (rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")).sortWithinPartitions("key")
-    writer = sorted_rows.write
+    writer = dealt(log, merge, partitions).sortWithinPartitions("key").observe(seen, *statistics).write
     for k, v in OPTIONS.items():
         writer = writer.option(k, v)
     writer.parquet(os.path.join(folder, name))

@@ -189,6 +189,29 @@ class Table:
                 raise UnexpectedValueError(str(e)[:300]) from e
             raise
 
+    # --- what is known of the runs ----------------------------------------------
+
+    def key_range(self) -> tuple[bytes, bytes] | None:
+        """Smallest and largest key of the runs, deletions included, from the manifest alone."""
+        ranges = [(r.least, r.most) for r in self._state.runs if r.rows]
+        return (min(a for a, _ in ranges), max(b for _, b in ranges)) if ranges else None
+
+    def might_contain(self, key: bytes) -> bool:
+        """False: no run holds an entry of the key. True: one does (the scan is pruned by the key's bloom filter)."""
+        at = Bound.included(_key(key))
+        runs = [r for r in self._state.runs if overlaps(at, at, r.least, r.most)]
+        found = read_runs(self.spark, self.folder, runs).filter(within(at, at)).select("key")
+        return bool(runs) and bool(checked(lambda: found.take(1)))
+
+    def run_stats(self) -> DataFrame:
+        """path, rows, tombstones, least, most of each run, oldest first."""
+        rows = [(i, r.path, r.rows, r.tombstones, r.least and bytearray(r.least), r.most and bytearray(r.most)) for i, r in enumerate(self._state.runs)]
+        return self.spark.createDataFrame(rows, "layer int, path string, rows bigint, tombstones bigint, least binary, most binary")
+
+    def cached(self) -> DataFrame:
+        """The current version's state, kept in the executors' memory until ``unpersist`` is called on it."""
+        return self.df().persist()
+
     # --- writes -------------------------------------------------------------
 
     def _commit(self, commit: Commit) -> None:
@@ -243,9 +266,11 @@ class Table:
         value = V.typed(kinds[kind], F.col("value")) if kind in kinds else F.col("value").cast(V.VALUE)
         op = F.col("op") if "op" in rows.columns else F.lit(V.PUT)
         log = rows.select("key", op.alias("op"), F.when(op == V.PUT, value).alias("value"), (F.col(order) if order else F.struct(op, value)).alias("ord"))
-        entry = F.max_by(F.struct("op", "value"), "ord").alias("e")
-        last = log.groupBy("key").agg(entry).select("key", "e.op", "e.value", F.lit(self.version + 1).alias("cv"), F.lit(0).alias("ord"))
-        run = write_run(last, self.folder, unique=True)
+
+        def last(ranges: DataFrame) -> DataFrame:
+            return resolve.last_per_key(ranges).select("key", "op", "value", F.lit(self.version + 1).alias("cv"), F.lit(0).alias("ord"))
+
+        run = write_run(log, self.folder, unique=True, merge=last)
         if not run.rows:
             shutil.rmtree(os.path.join(self.folder, run.path), ignore_errors=True)
             return
@@ -263,16 +288,10 @@ class Table:
         """Fold the buffer into a run; nothing to do if it is empty."""
         if not self._state.entries:
             return
-        run = write_run(self._newest_versions(self._pending(self._state.entries)), self.folder, unique=True, partitions=1)
+        run = write_run(self._pending(self._state.entries), self.folder, unique=True, partitions=1, merge=resolve.newest_versions)
         self._commit(Commit(self.version + 1, runs=(*self._state.runs, run), snapshot=True))
         self._maybe_compact()
 
-    @staticmethod
-    def _newest_versions(log: DataFrame) -> DataFrame:
-        """The newest row of each key with its version."""
-        at = F.struct("cv", "ord")
-        return log.groupBy("key").agg(F.max_by(F.struct("op", "value"), at).alias("e"), F.max(at).alias("v")).select("key", "e.op", "e.value", "v.cv", "v.ord")
-
     def _maybe_compact(self) -> None:
         if len(self._state.runs) > self.max_runs:
             self.compact()
@@ -287,8 +306,11 @@ class Table:
         runs = self._state.runs
         if not runs or len(runs) == 1 and not runs[0].tombstones:
             return
-        merged = self._newest_versions(read_runs(self.spark, self.folder, runs)).filter(F.col("op") == V.PUT)
-        run = checked(lambda: write_run(merged, self.folder, unique=True))
+        def kept(ranges: DataFrame) -> DataFrame:
+            return resolve.newest_versions(ranges).filter(F.col("op") == V.PUT)
+
+        log = read_runs(self.spark, self.folder, runs)
+        run = checked(lambda: write_run(log, self.folder, unique=True, merge=kept))
         entries = tuple(m for _, m in self._state.entries)
         # carried entries get a newer version than the run, as they had; their own order is kept by the buffer
         latest = {m.key: m for m in entries}

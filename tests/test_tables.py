@@ -300,6 +300,28 @@ def test_stream_into_a_table(spark, db, tmp_path):
     assert len(t.scan()) == rows
 
 
+def test_writing_a_run_shuffles_once(spark):
+    from kvspark.operators import resolve
+    from kvspark.sources.runs import dealt
+
+    log = spark.createDataFrame([(bytearray(b"k%d" % i), "P", None, i, 0) for i in range(50)], kv.functions.values.LOG)
+    plan = dealt(log, resolve.newest_versions).sortWithinPartitions("key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+
+
+def test_what_is_known_of_runs(spark, db):
+    t = db.table("t")
+    assert t.key_range() is None and not t.might_contain(b"a")
+    t.put_batch([(b"d", b"1"), (b"a", b"2"), (b"q", b"3")])
+    t.delete(b"m")
+    t.flush()
+    assert t.key_range() == (b"a", b"q")
+    assert t.might_contain(b"m") and not t.might_contain(b"z") and not t.might_contain(b"b")
+    r = t.run_stats().collect()
+    assert [(x.rows, x.tombstones, bytes(x.least)) for x in r] == [(4, 1, b"a")]
+    assert t.cached().count() == 3
+
+
 def test_value_json_round_trip():
     for v in (Value.of(0), Value.of(-1.5), Value.of(float("inf")), Value.of("ü"), Value.of(False), Value.of(b"\x00\xff")):
         assert Value.from_json(json.loads(json.dumps(v.to_json()))) == v
