@@ -65,17 +65,20 @@ def last_per_key(batch: DataFrame, order: Column | str = "ord") -> DataFrame:
 def committed(log: DataFrame, position: str, is_commit: Column) -> DataFrame:
     """The mutations at or before the last COMMIT; the uncommitted tail is cut off.
 
-    The cut is one number, taken by an aggregate over the markers alone and
-    compared as a one-row broadcast.
+    The cut is a scalar subquery over the markers alone, so the log is read with a
+    plain filter, without a join.
     """
-    cut = log.filter(is_commit).agg(F.max(position).alias("last_commit"))
-    return log.filter(~is_commit).join(F.broadcast(cut), F.col(position) <= F.col("last_commit")).drop("last_commit")
+    return log.filter(~is_commit & (F.col(position) <= _last(log, position, is_commit)))
 
 
 def uncommitted(log: DataFrame, position: str, is_commit: Column) -> DataFrame:
-    """The tail that recovery drops."""
-    cut = log.filter(is_commit).agg(F.max(position).alias("last_commit"))
-    return log.filter(~is_commit).join(F.broadcast(cut), (F.col(position) > F.col("last_commit")) | F.col("last_commit").isNull()).drop("last_commit")
+    """The tail that recovery drops; everything if nothing was committed."""
+    cut = _last(log, position, is_commit)
+    return log.filter(~is_commit & ((F.col(position) > cut) | cut.isNull()))
+
+
+def _last(log: DataFrame, position: str, is_commit: Column) -> Column:
+    return log.filter(is_commit).agg(F.max(position)).scalar()
 
 
 def by_rank(log: DataFrame, *order: str) -> DataFrame:
