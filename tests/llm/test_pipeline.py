@@ -103,7 +103,7 @@ def test_every_stage(spark, stages):
         n = plain_counts(r.text)
         if n[0] < 10 or 100 * n[4] > 20 * n[0]:
             return False
-        return rules.weights is None or float(rules.probability(np.array([score_of(r.text, rules.weights)]))[0]) >= 0.5
+        return rules.weights is None or float(rules.probability(np.array([score_of(r.text, rules.weights)]))[0]) >= quality_rules.KEEP_FROM
 
     rows = [r for r in rows if passes(r)]
     assert sorted(stages[0].collect()) == sorted(rows) and stages[0].columns == docs.columns
