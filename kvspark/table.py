@@ -13,6 +13,7 @@ from .errors import UnexpectedValueError
 from .functions import values as V
 from .functions.bounds import Bound, holds, overlaps, prefix_bounds, within
 from .operators import access, resolve
+from .sources.blocks import ASK_SPARK, BlockCache
 from .sources.lock import TableLock
 from .sources.manifest import Commit, Commits, Mutation, State
 from .sources.runs import checked, read_runs, write_run
@@ -38,6 +39,7 @@ class Table:
         self.spark, self.folder, self.budget, self.max_runs = spark, folder, budget, max_runs
         os.makedirs(folder, exist_ok=True)
         self._lock = TableLock(folder)
+        self._blocks = BlockCache(folder)
         try:
             self._commits = Commits(folder)
             self._state: State = self._commits.state()
@@ -119,11 +121,13 @@ class Table:
     def get_value(self, key: bytes) -> V.Value | None:
         """The typed cell of a key, or None."""
         key = _key(key)
-        if key in self._buffer:
-            return self._buffer[key].value
+        m = self._buffer.get(key)
+        if m is not None:
+            return m.value
+        found = self._blocks.find(self._state.runs, key)
+        if found is not ASK_SPARK:
+            return found
         at = Bound.included(key)
-        if not any(overlaps(at, at, r.least, r.most) for r in self._state.runs):
-            return None
         found = checked(lambda: self.df(low=at, high=at).take(1))
         return V.Value.from_row(found[0]["value"]) if found else None
 
@@ -219,6 +223,7 @@ class Table:
         self._state.apply(commit)
         if commit.snapshot:
             self._index()
+            self._blocks.clear()
         for m in () if commit.snapshot else commit.entries:
             self._remember(m)
 

@@ -322,6 +322,23 @@ def test_what_is_known_of_runs(spark, db):
     assert t.cached().count() == 3
 
 
+def test_point_reads_of_small_runs_start_no_job(spark, db, monkeypatch):
+    from kvspark.sources import blocks
+
+    t = db.table("t", max_runs=100)
+    t.write([(b"key_%04d" % i, i) for i in range(500)])
+    t.flush()
+    t.write([(b"key_0003", None), (b"key_0004", "text"), (b"zz", b"")])
+    t.flush()
+    with monkeypatch.context() as m:
+        m.setattr(t, "df", None)  # would be called for a job
+        assert [t.get_value(k) and t.get_value(k).data for k in (b"key_0000", b"key_0003", b"key_0004", b"zz", b"nope", b"key_0003x", b"")] == [0, None, "text", b"", None, None, None]
+        assert t.get_value(b"key_0000") == Value.of(0) and t._blocks.held == 2
+    monkeypatch.setattr(blocks, "LARGEST_BYTES", 0)
+    t._blocks.clear()
+    assert t.get_value(b"key_0004").data == "text" and t._blocks.held == 0
+
+
 def test_value_json_round_trip():
     for v in (Value.of(0), Value.of(-1.5), Value.of(float("inf")), Value.of("ü"), Value.of(False), Value.of(b"\x00\xff")):
         assert Value.from_json(json.loads(json.dumps(v.to_json()))) == v
