@@ -19,6 +19,8 @@ PUT, DELETE = "P", "D"
 #: kind -> field of the struct
 FIELDS = {"integer": "i", "float": "f", "text": "t", "boolean": "b", "bytes": "d"}
 
+_TYPES = {"integer": int, "float": float, "text": str, "boolean": bool, "bytes": bytes}
+
 VALUE = StructType(
     [
         StructField("kind", StringType()),
@@ -49,14 +51,7 @@ class Value:
     data: Any
 
     def __post_init__(self):
-        fits = {
-            "integer": lambda x: isinstance(x, int) and not isinstance(x, bool) and -(1 << 31) <= x < 1 << 31,
-            "float": lambda x: isinstance(x, float),
-            "text": lambda x: isinstance(x, str),
-            "boolean": lambda x: isinstance(x, bool),
-            "bytes": lambda x: isinstance(x, bytes),
-        }
-        if self.kind not in fits or not fits[self.kind](self.data):
+        if type(self.data) is not _TYPES.get(self.kind) or self.kind == "integer" and not -(1 << 31) <= self.data < 1 << 31:
             raise ValueError(f"not a value of kind {self.kind!r}: {self.data!r}")
 
     @staticmethod
@@ -66,10 +61,10 @@ class Value:
             return x
         if isinstance(x, (bytearray, memoryview)):
             x = bytes(x)
-        kinds = {bool: "boolean", int: "integer", float: "float", str: "text", bytes: "bytes"}
-        if type(x) not in kinds:
-            raise ValueError(f"no kind of value: {x!r}")
-        return Value(kinds[type(x)], x)
+        for kind, t in _TYPES.items():
+            if type(x) is t:
+                return Value(kind, x)
+        raise ValueError(f"no kind of value: {x!r}")
 
     def row(self) -> tuple:
         """As a row of the struct column."""

@@ -103,6 +103,20 @@ class Table:
         log = read_runs(self.spark, self.folder, runs)
         return log.unionByName(self._pending(entries)) if entries else log
 
+    def raw_log_df(self) -> DataFrame:
+        """Every mutation still on disk, with ``committed``: false for runs that no commit names (left by a crash)."""
+        root = os.path.join(self.folder, "runs")
+        there = {f"runs/{n}" for n in os.listdir(root)} if os.path.isdir(root) else set()
+        commits = [self._commits.read(v) for v in self._commits.versions()]
+        named = {r.path for c in commits for r in c.runs}
+        log = self._pending((c.version, m) for c in commits if not c.snapshot for m in c.entries).withColumn("committed", F.lit(True))
+        for paths, committed in ((there & named, True), (there - named, False)):
+            if paths:
+                rows = self.spark.read.schema(V.LOG).parquet(*(os.path.join(self.folder, p) for p in sorted(paths)))
+                log = log.unionByName(rows.withColumn("committed", F.lit(committed)))
+        # a flushed entry lies in its commit and in its run
+        return log.dropDuplicates(["key", "op", "cv", "ord", "committed"])
+
     def df(self, version: int | None = None, low: Bound = Bound(), high: Bound = Bound()) -> DataFrame:
         """key, value of every visible key within the bounds; unordered, lazy.
 

@@ -201,6 +201,7 @@ def test_unpublished_work_is_invisible(spark, db):
     os.unlink(last)  # as if the process had died before the commit
     t = kv.Database(spark, db.folder).table("t")
     assert t.scan() == [(b"committed", b"1")]
+    assert sorted((bytes(r.key), r.committed) for r in t.raw_log_df().collect()) == [(b"committed", True), (b"ghost", False)]
     t.put(b"after", b"2")
     assert t.get(b"ghost") is None and len(t.scan()) == 2
     assert len(t.vacuum()) >= 1 and len(t.scan()) == 2
