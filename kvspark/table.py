@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -15,7 +16,7 @@ from .functions.bounds import Bound, holds, overlaps, prefix_bounds, within
 from .operators import access, resolve
 from .sources.blocks import ASK_SPARK, BlockCache
 from .sources.lock import TableLock
-from .sources.manifest import Commit, Commits, Mutation, State
+from .sources.manifest import Commit, Commits, Mutation, Run, State
 from .sources.runs import checked, read_runs, write_run
 
 #: Bytes of buffered small mutations that trigger a flush, and runs beyond which they are merged.
@@ -120,15 +121,22 @@ class Table:
     def df(self, version: int | None = None, low: Bound = Bound(), high: Bound = Bound()) -> DataFrame:
         """key, value of every visible key within the bounds; unordered, lazy.
 
-        Where one run without repeated keys is all there is, nothing has to be merged
-        and the plan is a scan.
+        Runs without repeated keys whose key range meets no other run's and no buffered
+        key are read as they are; only the others are merged, by one shuffle.
         """
         s = self._state if version is None else self._commits.state(version)
         runs = [r for r in s.runs if overlaps(low, high, r.least, r.most)]
-        log = self.log_df(version, low, high).filter(within(low, high))
-        if len(runs) <= 1 and all(r.unique for r in runs) and not any(holds(low, high, m.key) for _, m in s.entries):
-            return resolve.live(log)
-        return resolve.state(log)
+        entries = [(cv, m) for cv, m in s.entries if holds(low, high, m.key)]
+        alone = [r for r in runs if r.unique and not any(_meet(r, o) for o in runs if o is not r) and not any(r.least <= m.key <= r.most for _, m in entries)]
+        mixed = [r for r in runs if r not in alone]
+        parts = []
+        if alone:
+            parts.append(resolve.live(read_runs(self.spark, self.folder, alone).filter(within(low, high))))
+        if mixed or entries or not alone:
+            log = read_runs(self.spark, self.folder, mixed)
+            log = log.unionByName(self._pending(entries)) if entries else log
+            parts.append(resolve.state(log.filter(within(low, high))) if mixed or entries else resolve.live(log))
+        return reduce(DataFrame.unionByName, parts)
 
     # --- reads --------------------------------------------------------------
 
@@ -344,3 +352,8 @@ class Table:
         for path in gone:
             shutil.rmtree(os.path.join(self.folder, path), ignore_errors=True)
         return gone
+
+
+def _meet(a: Run, b: Run) -> bool:
+    """Do the key ranges of two runs overlap?"""
+    return a.least <= b.most and b.least <= a.most

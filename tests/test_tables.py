@@ -287,6 +287,20 @@ def test_key_predicates_reach_the_scan_and_value_predicates_do_not(spark, db):
     assert "Aggregate" not in one
 
 
+def test_only_overlapping_runs_are_merged(spark, db):
+    t = db.table("t", max_runs=100)
+    for lo, hi in ((0, 100), (200, 300), (250, 350)):
+        t.put_df(frame(spark, [(b"%06d" % i, b"v%d" % lo) for i in range(lo, hi)]))
+
+    def plan(**bounds):
+        return t.df(**bounds)._jdf.queryExecution().executedPlan().toString()
+
+    assert "Aggregate" not in plan(high=Bound.excluded(b"000200")) and "Union" in plan()
+    assert len(t.scan()) == 250 and t.get(b"000260") == b"v250"
+    t.put(b"000050", b"buffered")
+    assert "Aggregate" in plan(high=Bound.excluded(b"000200")) and dict(t.scan())[b"000050"] == b"buffered"
+
+
 def test_stream_into_a_table(spark, db, tmp_path):
     from kvspark.streaming.ingest import upsert_stream
 
