@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import vectext as vt
-from .work import texts
+from .work import smallest_hashes, texts
 
 BUCKETS = 1 << 16
 FAMILIES = 3
@@ -92,9 +92,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, values:
     """
     lab = labels.select("doc_id", target.cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
     # a label repeated for an id counts once; if its values differ, the smallest holds
+    there = {r.y: r["count"] for r in lab.filter(F.col("y").isin(list(values))).groupBy("y").count().collect()}
     chosen = None
     for v in values:
-        top = lab.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_value)
+        top = smallest_hashes(lab.filter(F.col("y") == v), there.get(v, 0), per_value, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_value)
         chosen = top if chosen is None else chosen.unionByName(top)
     chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y"))
     # at most per_value * len(values) rows of 12 bytes: bounded by parameters

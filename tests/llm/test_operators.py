@@ -514,3 +514,14 @@ def test_extract_supplied_pages(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_bounded_choice_is_the_top_k(spark):
+    from kvspark.llm.work import smallest_hashes
+
+    df = spark.range(20000).withColumnRenamed("id", "doc_id")
+    few = smallest_hashes(df, 20000, 100, "doc_id")
+    assert 100 < few.count() < 500
+    top = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id")).limit(100).collect()]
+    assert [r.doc_id for r in few.orderBy(F.xxhash64("doc_id")).limit(100).collect()] == top
+    assert smallest_hashes(df, 20, 100, "doc_id").count() == 20000
