@@ -36,8 +36,8 @@ MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
-#: A document is kept from this probability of good quality on: on held-out labelled rows
-#: it drops 0.2 % of the good ones and all poor ones that pass the base rules.
+#: A document is kept from this probability of good quality on. Chosen on labelled rows outside
+#: the fit, where it drops 0.2 % of the good ones and all poor ones that pass the base rules.
 KEEP_FROM = 0.2
 #: Labelled rows of each kind that the model is fitted on, at most; a fifth of them calibrate it.
 SAMPLE_PER_LABEL = 1000
