@@ -467,15 +467,13 @@ def plain_lcs(a, b):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30), st.sampled_from([hx.MAX_BITS, 6]))
-def test_common_lines(a, b, limit):
-    old, hx.MAX_BITS = hx.MAX_BITS, limit
-    try:
-        pairs = hx.common(a, b)
-    finally:
-        hx.MAX_BITS = old
+@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
+def test_common_lines(a, b):
+    pairs = hx.common(a, b)
     assert len(pairs) == plain_lcs(a, b) and all(a[i] == b[j] for i, j in pairs)
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    # however many rows are kept, the very same lines
+    assert all(hx.common(a, b, step) == pairs for step in (1, 2, 5, 100))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
@@ -484,25 +482,101 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 <section class="comments"><p>first!</p></section><ul><li>x<li>y</ul><!-- <p>gone</p> --><p>z&nbsp;z</article><footer>&copy; site</footer>"""
 
 
+def text_of(page, *others):
+    return "\n".join(hx.main_lines(hx.lines(page), [hx.lines(o) for o in others])[0])
+
+
 def test_lines_and_article():
-    text = hx.main_text(hx.lines(PAGE), None)
-    assert text == "Head\u00adline <b>\nOne two three four\nfive &amp; six\nx\ny\nz z"
-    assert hx.main_text(hx.lines(""), None) == "" and hx.main_text(hx.lines("<p>a<p>b"), hx.lines("<p>a<p>c")) == "b"
-    assert hx.main_text(hx.lines("<div>top</div><article><p>same</p></article>"), hx.lines("<div>top</div><article><p>same</p></article>")) == "same"
+    assert text_of(PAGE) == "Head\u00adline <b>\nOne two three four\nfive &amp; six\nx\ny\nz z"
+    assert text_of("") == "" and text_of("<p>a<p>b<p>c", "<p>a<p>d<p>e") == "b\nc"
+    assert text_of("<div>top</div><article><p>same</p></article>", "<div>top</div><article><p>same</p></article>") == "same"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="layout no-sidebar"><article><p>x</article></div>', "x"),
+        ('<div id="page" class="with-banner"><main><p>x</main></div>', "x"),
+        ('<div class="sidebar"><article>x</article></div>', "x"),
+        ('<div class="sidebar"><article>teaser</article></div><article>x</article>', "x"),
+        ("<form><nav>n</nav><article><p>x</article></form>", "x"),
+        ("<form><p>x<p>y<button>send</button></form>", "x\ny"),
+        ('<div class="comments"><article>first!</article></div><article>x</article>', "x"),
+        ('<article class="comment">first!</article><p>x', "x"),
+        ('<div id="cookieBanner">c</div><div class="main-nav">n</div><div class="adjust navy">y</div>', "y"),
+        ('<main><div class=ad>q</div><p>x<article>y</article></main>', "x\ny"),
+        ('<div class="ad">x</div>', ""),
+        ("<p class=ad>q<p>text", "text"),
+        ("a < b<a title=don't href=x>c</a> d's<!-- e", "a < bc d's"),
+        ("<p>x<script>if (a</script>y", "xy"),
+    ],
+)
+def test_layouts(page, want):
+    assert text_of(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000 + '"', "<a x=" * 200_000 + "'", "<div>" * 100_000 + "</p>" * 100_000, "<p>" * 200_000 + "x", "<" * 500_000, "<script>" * 100_000, "<a b=' " * 100_000])
+def test_parsing_takes_time_in_proportion(page):
+    import time
+
+    def took(p):
+        start = time.perf_counter()
+        hx.lines(p)
+        return time.perf_counter() - start
+
+    assert took(page) < 8 * took(page[: len(page) // 4]) + 0.5 and took(page) < 10
+
+
+def plain_extract(rows):
+    """By a sort of all pages, and a look at each one's neighbours."""
+    keyed = []
+    for page, url, html, h in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        keyed.append((m.group(1).lower(), m.group(2), -(1 << 63) if page is None else page, h, page, url, html))
+    order = sorted({k[:4] for k in keyed})
+    one = {k[:4]: hx.lines(k[6] or "") for k in keyed}
+    out = []
+    for k in keyed:
+        at = order.index(k[:4])
+        near = [order[i] for i in (at - 1, at + 1) if 0 <= i < len(order) and order[i][0] == k[0]]
+        near.sort(key=lambda n: -len(__import__("os").path.commonprefix([n[1], k[1]])))
+        out.append((k[4], k[5], "\n".join(hx.main_lines(one[k[:4]], [one[n] for n in near])[0])))
+    return sorted(out, key=repr)
 
 
-def test_extract_differences_neighbours(spark):
-    def page(i):
-        return f"<body><div>Welcome to the site</div><div>story {i}</div><p>more of {i}</p><div>Imprint</div></body>"
+def site(i):
+    head = "<div>Welcome to the site</div>" + ("<p>common quote</p>" if i % 3 else "")
+    return f"<body>{head}<div>story {i} " + "words " * 20 + f"</div><p>more of {i}</p><div>Imprint</div></body>"
 
-    rows = [(i, f"http://h.com/a/{i:02d}", page(i), "clash") for i in range(12)] + [(50, None, None, ""), (51, "x", "", ""), (52, "http://alone.com/", page(52), ""), (53, "http://alone.net/", PAGE, ""), (53, "http://alone.net/", PAGE, "")]
+
+def test_extract_equals_plain_differencing(spark):
+    rows = [(i, f"http://h.com/a/{i % 7}/{i:02d}", site(i), "clash") for i in range(40)]
+    rows += [(100 + i, f"http://h.com/a/3/10{i}", site(10), "clash") for i in range(3)]  # copies at neighbouring addresses
+    rows += [(50, None, None, ""), (51, "x", "", ""), (52, "http://alone.com/", site(52), ""), (53, "http://alone.net/", PAGE, ""), (53, "http://alone.net/", PAGE, ""), (None, "http://h.com/a/1", site(7), "")]
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, path string")
-    got = {r.page_id: r for r in hx.extract(frame.coalesce(1)).collect()}
-    assert len(hx.extract(frame).collect()) == len(rows)
-    one_part = hx.extract(frame.limit(0))
-    assert one_part.count() == 0
-    assert got[52].text.startswith("Welcome") and got[50].text == "" and got[51].n_chars == 0
-    assert got[53].n_chars == len(got[53].text)
+    hashed = [(r.page_id, r.url, r.html, r.h) for r in frame.withColumn("h", F.xxhash64("html", "url")).collect()]
+    want = plain_extract(hashed)
+    keys = sorted({(*re.match(r"([^/]*)(.*)", r[1].split("://")[1]).groups(), r[0], r[3]) for r in hashed if r[1] and "://" in r[1] and r[0] is not None})
+    for cuts in ([], keys[5:6], keys[::4], keys):
+        for parts in (1, 4, 12):
+            got = hx.extract(frame.repartition(parts), lambda _: cuts).collect()
+            assert sorted(((r.page_id, r.url, r.text) for r in got), key=repr) == want
+    text = {r.page_id: r.text for r in got}
+    assert "Welcome" not in text[20] and "Imprint" not in text[20] and "story 20" in text[20]
+    assert text[52].startswith("Welcome") and text[50] == "" and text[51] == "" and all(r.n_chars == len(r.text) for r in got)
+    assert hx.extract(frame.limit(0)).count() == 0
+    # the neighbour decides: without one the template stays
+    assert sum(t != text_of(r[2] or "") for r in hashed for t in [text[r[0]]]) >= 30
+
+
+def test_bounds_come_from_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(hx, "STRETCH_PAGES", 5)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html, r.h) for r in pages.withColumn("h", F.xxhash64("html", "url")).collect()]
+    got = hx.extract(pages).collect()
+    assert sorted(((r.page_id, r.url, r.text) for r in got), key=repr) == plain_extract(rows)
+    assert sum(r.n_shared for r in got) > 0
 
 
 def test_extract_supplied_pages(spark):
