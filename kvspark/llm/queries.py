@@ -111,20 +111,21 @@ ORACLE_SQL = {
           FROM (SELECT g, count(*) AS n FROM grouped GROUP BY g) s LEFT JOIN targets t ON s.g = t.source
         ),
         rated AS (SELECT g, w / (SELECT sum(w) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
-        parts AS (SELECT g, greatest(0, CAST(floor(rate - {mixing.WHOLE_FROM}) AS BIGINT)) AS whole, rate FROM rated),
-        cdf(g, whole, mean, k, p, c) AS (
-          SELECT g, whole, rate - whole, 0, exp(-(rate - whole)), exp(-(rate - whole)) FROM parts
+        parts AS (SELECT g, greatest(1, CAST(ceil(rate / {mixing.MOST_MEAN}) AS BIGINT)) AS parts, rate FROM rated),
+        cdf(g, parts, mean, k, p, c) AS (
+          SELECT g, parts, rate / parts, 0, exp(-(rate / parts)), exp(-(rate / parts)) FROM parts
           UNION ALL
-          SELECT g, whole, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < {mixing.TERMS}
+          SELECT g, parts, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < {mixing.TERMS}
         ),
-        steps AS (SELECT g, any_value(whole) AS whole, list(c) AS cs FROM cdf GROUP BY g),
+        steps AS (SELECT g, any_value(parts) AS parts, list(c) AS cs FROM cdf GROUP BY g),
         drawn AS (
-          SELECT d.*, (CAST(('0x' || substr(md5('{MIX_SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, {mixing.BITS // 4})) AS BIGINT) + 0.5::DOUBLE) / {float(1 << mixing.BITS)}::DOUBLE AS u
-          FROM grouped d
+          SELECT d.*, s.cs, (CAST(('0x' || substr(md5('{MIX_SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || CAST(part AS VARCHAR)), 1, {mixing.BITS // 4})) AS BIGINT) + 0.5::DOUBLE) / {float(1 << mixing.BITS)}::DOUBLE AS u
+          FROM (SELECT g.*, row_number() OVER () AS row_no FROM grouped g) d JOIN steps s ON d.g IS NOT DISTINCT FROM s.g, range(1, s.parts + 1) r(part)
         ),
         counted AS (
-          SELECT d.*, s.whole + len([c FOR c IN s.cs IF c < d.u]) AS copies
-          FROM drawn d JOIN steps s ON d.g IS NOT DISTINCT FROM s.g
+          SELECT any_value(doc_id) AS doc_id, any_value(text) AS text, any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars,
+            CAST(sum(len([c FOR c IN cs IF c < u])) AS BIGINT) AS copies
+          FROM drawn GROUP BY row_no
         )
         SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM counted WHERE copies > 0
     """,

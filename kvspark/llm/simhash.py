@@ -19,10 +19,14 @@ hub are at distance 3 or less, so the components stay exactly the same while the
 links grow in proportion to the members. Exact copies are one fingerprint before
 anything is joined.
 
+Keys that many rows share (exact copies of one text, the root of a large component,
+a heavy block key) are dealt to several tasks wherever rows are joined by them.
+
 Defined cases: null and empty texts have fingerprint 0 and are linked like any
-other; repeated rows and ids get one result each; a row with a null doc_id gets the
-smallest id of its component, null if that has none; an empty table gives no rows;
-other columns are ignored by ``components`` and kept by ``first_of_each``.
+other; repeated rows and ids get one result each, and a component's id is the
+smallest doc_id of its rows, null if it has none; an empty table gives no rows;
+other columns are ignored by ``components`` and kept by ``first_of_each``, which
+keeps one row of every component, also where an id stands for several texts.
 """
 
 from __future__ import annotations
@@ -36,12 +40,15 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from . import vectext as vt
-from .work import saved, texts
+from .work import join_once, kept, removed, saved, texts
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 3
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
-#: Distinct fingerprints under one key that are still compared pair by pair.
-HEAVY = 64
+#: Distinct fingerprints under one key that are still compared pair by pair. Hubs send 33 + 529 rows a member, pairs
+#: cost half the members in comparisons where they lie.
+HEAVY = 512
+#: Heavy keys that are broadcast (16 bytes each); more are joined, each dealt to WAYS tasks.
+BROADCAST_KEYS, WAYS = 500_000, 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -61,16 +68,27 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def _name(docs: DataFrame) -> list[F.Column]:
+    """r1 and r2: 128 bits of hash of all columns that can be hashed."""
+    whole = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return [F.xxhash64(F.lit(k), *whole).alias(f"r{k}") for k in (1, 2)]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long). One scan, no shuffle."""
+    """doc_id, fp (the fingerprint's bits as a signed long), salt (the row's number in its task, for dealing equal rows), and
+    r1, r2 (hashes of the whole row, which name it). One scan, no shuffle."""
+    rows = texts(docs, *_name(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for b in batches:
             data, off = vt.string_buffers(b.column("text"))
             fps = [fingerprint(data[i:j].tobytes()) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            salt = pa.array(np.arange(done, done + len(fps)))
+            done += len(fps)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), salt, b.column("r1"), b.column("r2")], ["doc_id", "fp", "salt", "r1", "r2"])
 
-    return texts(docs).mapInArrow(work, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(work, "doc_id bigint, fp bigint, salt bigint, r1 bigint, r2 bigint")
 
 
 def _choices() -> list[tuple[int, list[int]]]:
@@ -98,8 +116,9 @@ def links(fps: DataFrame) -> DataFrame:
         "fp",
         F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in choices))).alias("c", "key"),
     )
-    heavy = keyed.groupBy("c", "key").count().filter(F.col("count") > HEAVY).select("c", "key")
-    light = keyed.join(heavy, ["c", "key"], "left_anti")
+    heavy = saved(keyed.groupBy("c", "key").count().filter(F.col("count") > HEAVY).select("c", "key"))
+    number = heavy.count()
+    light, members = (keyed, None) if not number else _parted(keyed, heavy, number)
     other = light.select("c", "key", F.col("fp").alias("b"))
     pairs = (
         light.select("c", "key", F.col("fp").alias("a"))
@@ -107,7 +126,17 @@ def links(fps: DataFrame) -> DataFrame:
         .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE))
         .select("a", "b")
     )
-    return pairs.unionByName(_hub_links(keyed.join(heavy, ["c", "key"], "left_semi"), choices)).distinct()
+    return (pairs if members is None else pairs.unionByName(_hub_links(members, choices))).distinct()
+
+
+def _parted(keyed: DataFrame, heavy: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """The rows under light keys and those under heavy ones."""
+    if number <= BROADCAST_KEYS:
+        few, on = F.broadcast(heavy), ["c", "key"]
+    else:
+        keyed = keyed.withColumn("way", F.pmod(F.xxhash64("fp"), F.lit(WAYS)).cast("int"))
+        few, on = heavy.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)))), ["c", "key", "way"]
+    return tuple(keyed.join(few, on, how).select("fp", "c", "key") for how in ("left_anti", "left_semi"))
 
 
 def _hub_links(members: DataFrame, choices: list[tuple[int, list[int]]]) -> DataFrame:
@@ -129,63 +158,70 @@ def _hub_links(members: DataFrame, choices: list[tuple[int, list[int]]]) -> Data
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node reachable.
 
-    Alternates large-star and small-star rounds. Each round is two
-    aggregations by minimum with map-side combining and two joins; no task
-    gathers a node's neighbours. Rounds are cut by checkpoints.
+    Alternates large-star and small-star rounds: aggregations by minimum with
+    map-side combining, and joins that deal the rows of a node with many neighbours
+    to many tasks. Each round is written to the shared folder; the one before goes.
     """
-    def star(e: DataFrame, large: bool) -> DataFrame:
+
+    def star(e: DataFrame, large: bool, rows: int) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if large:
             both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            out = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+            out = join_once(both.filter("v > u"), low, ["u"], "n", F.col("v"), 2 * rows).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
-            low = down.groupBy("u").agg(F.min("v").alias("m"))
-            out = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+            low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            out = join_once(down, low, ["u"], "n", F.col("v"), rows).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.filter("a != b").distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
-    now = saved(edges.select("a", "b"))
+    spark = edges.sparkSession
+    now, path = kept(edges.select("a", "b"))
     before = None
     while (at := state(now)) != before:
-        before = at
-        now = saved(star(star(now, True), False))
+        # a star round has one edge at most for each of the last one's
+        before, (after, then) = at, kept(star(star(now, True, at[0]), False, 2 * at[0]))
+        removed(spark, path)
+        now, path = after, then
     pairs = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root")).distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: a row for each row of ``docs``."""
-    fps = saved(fingerprints(docs))
-    return _with_components(fps)
+    return _with_components(saved(fingerprints(docs)))
 
 
 def _with_components(fps: DataFrame) -> DataFrame:
-    one = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    out = _rooted(fps, F.col("doc_id"))
+    return out.select("doc_id", "fp", F.col("first").alias("component_id"))
+
+
+def _rooted(fps: DataFrame, first: F.Column) -> DataFrame:
+    """``fps`` with ``first``, the smallest value of that expression in the row's component."""
+    one = saved(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")))
     tree = connected(links(one.select("fp"))).withColumnsRenamed({"node": "fp"})
     # what isn't linked to another fingerprint is a component by itself
     rooted = one.join(tree, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("members"))
+    size = one.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ids = join_once(rooted.drop("first"), smallest, ["root"], "members", F.col("fp"), size[0]).select("fp", "n", "first")
+    return join_once(fps, ids, ["fp"], "n", F.col("salt" if "salt" in fps.columns else "doc_id"), size[1])
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component, with all columns: the one with the smallest doc_id.
-
-    Of several rows with that id (repeated rows) one is kept, whichever. Rows
-    without a doc_id can't be named as copies and are all kept.
-    """
+    """One row of ``docs`` for each component, with all columns: the one with the smallest doc_id (null last), of several
+    the one with the smallest hash of the row. Rows that are equal in all columns are one."""
     fps = saved(fingerprints(docs))
-    each = _with_components(fps)
-    keepers = each.filter("doc_id = component_id").select("doc_id").distinct()
-    drops = each.filter("doc_id != component_id").select("doc_id").distinct().join(keepers, "doc_id", "left_anti")
-    kept = docs.join(drops, "doc_id", "left_anti").select(docs.columns)
-    if fps.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    name = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "r1", "r2")
+    each = _rooted(fps, name)
+    drops = each.filter((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2"))).select("r1", "r2").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_name(docs))
+    if not fps.groupBy("r1", "r2").count().filter("count > 1").isEmpty():
+        rows = rows.groupBy("r1", "r2").agg(F.first("row").alias("row"))  # equal rows, so any of them
+    return rows.join(drops, ["r1", "r2"], "left_anti").select("row.*")
 
 
 def hex16(fp: str = "fp") -> F.Column:

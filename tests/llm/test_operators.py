@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections import Counter
 
@@ -11,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from kvspark.llm import hashed_text as ht, html_extract as hx, licenses, mixing, quality_classifier as qc, quality_rules as qr, sentencepiece_codec as sp, simhash, token_counts as tc, topk, url_filter as uf, vectext as vt
+from kvspark.llm import hashed_text as ht, html_extract as hx, licenses, mixing, quality_classifier as qc, quality_rules as qr, sentencepiece_codec as sp, simhash, token_counts as tc, topk, url_filter as uf, vectext as vt, work
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -224,10 +226,33 @@ def test_simhash_awkward(spark):
     got = simhash.components(docs)
     assert got.count() == len(AWKWARD) + 5
     kept = [r.doc_id for r in simhash.first_of_each(docs).collect()]
-    assert kept.count(None) == 2 and len([i for i in kept if i is not None]) == len({i for i in kept if i is not None})
+    assert kept.count(None) == 1 and len([i for i in kept if i is not None]) == len({i for i in kept if i is not None})
     assert 0 in kept and 6 not in kept
 
 
+def test_every_component_has_a_survivor(spark, monkeypatch):
+    """Ids that stand for several texts, repeated rows, columns that clash; with every join split."""
+    monkeypatch.setattr(work, "SPLIT_ROWS", 2)
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(simhash, "HEAVY", 2)
+    rng = np.random.default_rng(5)
+    bases = [" ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, 60)) for _ in range(5)]
+    texts = [*bases, *(b + " z" for b in bases), *(b + " y x" for b in bases), bases[0], None, ""]
+    rows = [(int(rng.integers(0, 6)), t, f"s{k % 2}", k % 2, k % 3) for k, t in enumerate(texts * 3)] + [(None, bases[1], "s", 0, 0), (None, "alone here now", "s", 0, 0)]
+    rows += rows[:9]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, r1 int, first int")
+    groups = plain_components([plain_fingerprint(t) for _, t, *_ in rows], list(range(len(rows))))
+    want = Counter()
+    for g in set(groups.values()):
+        want[min((r[0] is None, r[0] or 0, g) for k, r in enumerate(rows) if groups[k] == g)[:2] + (g,)] += 1
+    out = [tuple(r) for r in simhash.first_of_each(frame).collect()]
+    assert frame.columns == simhash.first_of_each(frame).columns and set(out) <= set(rows)
+    assert Counter((r[0] is None, r[0] or 0, groups[rows.index(r)]) for r in out) == want
+    assert sorted(out, key=repr) == sorted(map(tuple, simhash.first_of_each(frame.repartition(5)).collect()), key=repr)
+    plain = simhash.first_of_each(spark.createDataFrame([(5, "alpha beta gamma"), (5, "one two three"), (9, "one two three")], "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, plain)) == [(5, "alpha beta gamma"), (5, "one two three")]
+
+
 # --- 4 licence scan -------------------------------------------------------------------
 
 
@@ -279,21 +304,55 @@ def test_mixing(spark):
     assert not re.search("Python|Arrow|Pandas|Cartesian", plan)
 
 
+def plain_uniform(seed, doc_id, part):
+    key = f"{seed}|{'' if doc_id is None else doc_id}|{part}"
+    return (int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
+def quantile(u, lam):
+    k, p = 0, math.exp(-lam)
+    c = p
+    while c < u:
+        k += 1
+        p *= lam / k
+        c += p
+    return k
+
+
 def test_poisson_inversion(spark):
-    """The counts are the quantiles of the distribution, also for a large rate."""
-    docs = spark.createDataFrame([(i, "s") for i in range(20)] + [(100 + i, "t") for i in range(2000)], "doc_id bigint, source string")
-    counts = [r.mix_copies for r in mixing.counted(docs, {"s": 0.9, "t": 0.1}, 0.0, 1).filter("source = 's'").collect()]
-    rate = 0.9 * 2020 / 20
-    assert abs(np.mean(counts) - rate) < 5 and min(counts) >= int(rate - 32)
-    small = mixing.counted(docs, {"s": 0.5, "t": 0.5}, 0.0, 1).filter("source = 't'").withColumn("u", mixing.uniform(1, "doc_id")).collect()
-    lam = 0.5 * 2020 / 2000
-    for r in small:
-        k, p, c = 0, np.exp(-lam), np.exp(-lam)
-        while c < r.u:
-            k += 1
-            p *= lam / k
-            c += p
-        assert r.mix_copies == k
+    """The counts are quantiles of the distribution."""
+    docs = spark.createDataFrame([(i, "s") for i in range(20)] + [(100 + i, "t") for i in range(2000)] + [(None, "t")], "doc_id bigint, source string")
+    got = mixing.counted(docs, {"s": 0.5, "t": 0.5}, 0.0, 1).collect()
+    for r in got:
+        n = 20 if r.source == "s" else 2001
+        rate = 0.5 * 2021 / n
+        parts = max(1, math.ceil(rate / mixing.MOST_MEAN))
+        assert r.mix_copies == sum(quantile(plain_uniform(1, r.doc_id, k + 1), rate / parts) for k in range(parts))
+
+
+def test_high_rates_are_poisson_too(spark):
+    n, rate = 20_000, 90.9
+    other = round(n * rate) - n  # one source takes nearly all of the weight
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source")).unionByName(spark.range(other).select((F.col("id") + n).alias("doc_id"), F.lit("t").alias("source")))
+    got = mixing.counted(docs, {"s": 1.0, "t": 0.0}, 0.0, 7).filter("source = 's'").groupBy("mix_copies").count().collect()
+    k = np.repeat([r.mix_copies for r in got], [r["count"] for r in got]).astype(float)
+    assert abs(k.mean() / rate - 1) < 0.005 and abs(k.var() / rate - 1) < 0.05
+    assert k.min() < rate - 3 * rate**0.5 and k.max() > rate + 3 * rate**0.5
+    skew = ((k - k.mean()) ** 3).mean() / k.std() ** 3
+    assert abs(skew - rate**-0.5) < 0.06
+
+
+def test_mixing_clashes_and_repeats(spark):
+    docs = spark.createDataFrame([(1, None, "a", 7, "p", "g"), (1, None, "a", 7, "p", "g"), (None, "", "b", 8, "q", "h")], "doc_id bigint, text string, source string, Copy int, mix_row string, mix_copies string")
+    out = mixing.mix(docs, {"a": 1.0}, 2.0, 4, copy_col="copy")
+    assert out.columns == ["doc_id", "text", "source", "mix_row", "mix_copies", "copy"]
+    rows = out.collect()
+    assert all(r.copy >= 1 for r in rows) and {(r.mix_row, r.mix_copies) for r in rows} <= {("p", "g"), ("q", "h")}
+    n = mixing.counted(docs, {"a": 1.0}, 2.0, 4)
+    assert n.columns == ["doc_id", "text", "source", "Copy", "mix_row", "mix_copies"]
+    counts = [r.mix_copies for r in n.orderBy("doc_id").collect()]
+    assert counts[1] == counts[2] and sum(counts) == len(rows)
+    assert mixing.mix(docs, {"a": 1.0}, 2.0, 4).columns == docs.columns
 
 
 # --- 6 SentencePiece ------------------------------------------------------------------

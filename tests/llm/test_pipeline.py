@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 
@@ -14,7 +13,7 @@ import corpus_pipeline
 from kvspark.llm import hashed_text as ht, mixing, quality_classifier, quality_rules, sentencepiece_codec as sp
 from kvspark.llm.queries import MIX_SEED, ORACLE_SQL, OTHER, QUERIES, TARGETS
 
-from .test_operators import plain_components, plain_counts, plain_fingerprint
+from .test_operators import plain_components, plain_counts, plain_fingerprint, plain_uniform, quantile
 
 SF = "/root/testdata/sf0.001"
 M64 = (1 << 64) - 1
@@ -70,16 +69,8 @@ def plain_copies(rows):
     for r in rows:
         g = r.source if r.source in TARGETS else None
         rate = w[g] / sum(w.values()) * len(rows) / n[g]
-        whole = max(0, math.floor(rate - mixing.WHOLE_FROM))
-        lam = rate - whole
-        u = (int(hashlib.md5(f"{MIX_SEED}|{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        k, p = 0, math.exp(-lam)
-        c = p
-        while c < u:
-            k += 1
-            p *= lam / k
-            c += p
-        out.append(whole + k)
+        parts = max(1, math.ceil(rate / mixing.MOST_MEAN))
+        out.append(sum(quantile(plain_uniform(MIX_SEED, r.doc_id, k + 1), rate / parts) for k in range(parts)))
     return out
 
 
