@@ -26,13 +26,24 @@ FAMILIES = 3
 _U = np.uint64
 
 
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words' hashes."""
+    return vt.mix(h[:-1] * _U(3) + (h[1:] ^ (h[1:] >> _U(7))))
+
+
+def _triples(cp: np.ndarray) -> np.ndarray:
+    """Hashes of three code points in a row."""
+    cp = cp.astype(np.uint64)
+    return vt.mix(cp[:-2] * _U(0x9E3779B97F4A7C15) + cp[1:-1] * _U(0xC2B2AE3D27D4EB4F) + cp[2:] * _U(0x165667B19E3779F9))
+
+
 def grams(s: vt.Slice, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(column in the family, n + 1 offsets by document) of each family."""
     shift = _U(64 - BUCKETS.bit_length() + 1)
     h = s.span_hash(starts, ends)
     off = np.searchsorted(starts, s.off)
     out = [((h >> shift).astype(np.int32), off)]
-    pair = vt.mix(h[:-1] * _U(3) + (h[1:] ^ (h[1:] >> _U(7)))) if len(h) else h
+    pair = _pairs(h)
     inner = np.ones(len(pair), bool)
     last = off[1:-1] - 1
     inner[last[(last >= 0) & (last < len(pair))]] = False
@@ -41,8 +52,7 @@ def grams(s: vt.Slice, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.nd
     out.append(((pair[inner] >> shift).astype(np.int32), c[np.minimum(off, len(pair))]))
     cp, at = s.code_points()
     if len(cp) >= 3:
-        cp = cp.astype(np.uint64)
-        g = vt.mix(cp[:-2] * _U(0x9E3779B97F4A7C15) + cp[1:-1] * _U(0xC2B2AE3D27D4EB4F) + cp[2:] * _U(0x165667B19E3779F9))
+        g = _triples(cp)
         inner = np.ones(len(g), bool)
         for k in (1, 2):
             last = at[1:-1] - k
@@ -59,19 +69,47 @@ def word_spans(s: vt.Slice) -> tuple[np.ndarray, np.ndarray]:
     return s.spans(~vt.WHITE[s.b])
 
 
-def scores(s: vt.Slice, starts: np.ndarray, ends: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Sum over the families of the mean weight; w has BUCKETS weights a family."""
+def _mean_weights(s: vt.Slice, w: np.ndarray) -> np.ndarray:
     total = np.zeros(s.n)
-    for k, (col, off) in enumerate(grams(s, starts, ends)):
+    for k, (col, off) in enumerate(grams(s, *word_spans(s))):
         total += vt.segment_sum(w[k * BUCKETS : (k + 1) * BUCKETS][col], off) / np.maximum(1, np.diff(off))
     return total
 
 
+def _long_grams(doc: vt.Long) -> Iterator[tuple[int, np.ndarray]]:
+    """(family, columns) of a document, piece by piece."""
+    shift = _U(64 - BUCKETS.bit_length() + 1)
+    last = np.zeros(0, np.uint64)
+    for h, _ in doc.spans(~vt.WHITE):
+        yield 0, (h >> shift).astype(np.int32)
+        h = np.append(last, h)
+        yield 1, (_pairs(h) >> shift).astype(np.int32)
+        last = h[-1:]
+    tail = np.zeros(0, np.uint32)
+    for b in doc.pieces():
+        cp = np.append(tail, vt.code_points(b))
+        yield 2, (_triples(cp) >> shift).astype(np.int32)
+        tail = cp[-2:]
+
+
+def scores(s: vt.Slice | vt.Long, w: np.ndarray) -> np.ndarray:
+    """Sum over the families of the mean weight, by document; w has BUCKETS weights a family."""
+    if isinstance(s, vt.Slice):
+        return _mean_weights(s, w)
+    sums, counts = np.zeros(FAMILIES), np.zeros(FAMILIES)
+    for k, col in _long_grams(s):
+        sums[k] += w[k * BUCKETS : (k + 1) * BUCKETS][col].sum(dtype=np.float64)
+        counts[k] += len(col)
+    return np.array([(sums / np.maximum(1, counts)).sum()])
+
+
 def sparse_rows(column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
     """(int32 columns, float32 shares) of each document, as raw bytes."""
     for s in vt.slices(column):
-        starts, ends = word_spans(s)
-        fam = grams(s, starts, ends)
+        if isinstance(s, vt.Long):
+            yield _long_row(s)
+            continue
+        fam = grams(s, *word_spans(s))
         for i in range(s.n):
             cols, vals = [], []
             for k, (col, off) in enumerate(fam):
@@ -82,24 +120,34 @@ def sparse_rows(column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
             yield (np.concatenate(cols).astype(np.int32).tobytes(), np.concatenate(vals).tobytes()) if cols else (b"", b"")
 
 
+def _long_row(doc: vt.Long) -> tuple[bytes, bytes]:
+    n = np.zeros((FAMILIES, BUCKETS))
+    for k, col in _long_grams(doc):
+        n[k] += np.bincount(col, minlength=BUCKETS)
+    share = (n / np.maximum(1, n.sum(1, keepdims=True))).astype(np.float32).ravel()
+    at = np.flatnonzero(share)
+    return at.astype(np.int32).tobytes(), share[at].tobytes()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, values: tuple[int, ...], per_value: int) -> list:
     """At most ``per_value`` labelled rows of each value, with their features.
 
-    The rows with the smallest xxhash64 of their id stand for the others, so the
-    choice is the same on every run. What comes to the driver is bounded by
-    ``per_value``, never by the corpus: rows of sparse features, no texts.
+    The ids with the smallest xxhash64 stand for the others, so the choice is the
+    same on every run. A label repeated for an id counts once (if its values differ,
+    the smallest holds), and so does a text (the smallest holds). What comes to the
+    driver is bounded by ``per_value``, never by the corpus: a row of sparse features
+    an id, BUCKETS * FAMILIES entries of 8 bytes at most, no texts.
     Returns rows (doc_id, y, cols, vals) sorted by doc_id.
     """
-    lab = labels.select("doc_id", target.cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
-    # a label repeated for an id counts once; if its values differ, the smallest holds
-    there = {r.y: r["count"] for r in lab.filter(F.col("y").isin(list(values))).groupBy("y").count().collect()}
+    lab = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), target.cast("int").alias("y")).filter(F.col("y").isin(list(values)) & F.col("doc_id").isNotNull())
+    one = lab.groupBy("doc_id").agg(F.min("y").alias("y"))
+    there = {r.y: r["count"] for r in one.groupBy("y").count().collect()}
     chosen = None
     for v in values:
-        top = smallest_hashes(lab.filter(F.col("y") == v), there.get(v, 0), per_value, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_value)
+        top = smallest_hashes(one.filter(F.col("y") == v), there.get(v, 0), per_value, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_value)
         chosen = top if chosen is None else chosen.unionByName(top)
-    chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y"))
     # at most per_value * len(values) rows of 12 bytes: bounded by parameters
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id")
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,13 +157,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, values:
                 ["doc_id", "y", "cols", "vals"],
             )
 
-    got = rows.mapInArrow(work, "doc_id bigint, y int, cols binary, vals binary").collect()
-    seen, out = set(), []
-    for r in sorted(got, key=lambda r: (r.doc_id, bytes(r.cols), bytes(r.vals))):
-        if r.doc_id not in seen:
-            seen.add(r.doc_id)
-            out.append(r)
-    return out
+    return sorted(rows.mapInArrow(work, "doc_id bigint, y int, cols binary, vals binary").collect(), key=lambda r: r.doc_id)
 
 
 class Design:

@@ -11,7 +11,7 @@ Grades from the labels: 0 poor quality, 1 good quality but toxic, 2 good.
 Defined cases: a null or empty text has score 0 and is graded by the thresholds
 alone; equal rows get equal grades; an empty table gives no rows; other columns
 are ignored by ``score`` and kept by ``keep``; a text of any length is read
-whole. If fewer than two grades have labelled rows there is no model: the
+whole, a long one in pieces with bounded temporaries. If fewer than two grades have labelled rows there is no model: the
 columns are null and every document is kept.
 """
 
@@ -112,7 +112,7 @@ def _worker(docs: DataFrame, model: OrdinalModel, select_from: float, report: bo
                 none, kept = pa.nulls(b.num_rows, pa.float64()), np.ones(b.num_rows, bool)
                 cols = [none, none, none]
             else:
-                z = np.concatenate([ht.scores(s, *ht.word_spans(s), m.weights) for s in vt.slices(b.column("text"))])
+                z = np.concatenate([ht.scores(s, m.weights) for s in vt.slices(b.column("text"))])
                 tails = m.tails(z)
                 kept = tails[SELECT_GRADE - 1] >= select_from
                 cols = [pa.array(c) for c in (tails.sum(0), tails[SELECT_GRADE - 1], tails[-1])]

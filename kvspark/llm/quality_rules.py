@@ -12,8 +12,9 @@ fixed probability.
 Defined cases: a null text counts as an empty one (all counts 0, base_failed);
 equal rows get equal results, one each; an empty table gives no rows; columns
 other than ``doc_id`` and ``text`` are ignored by ``judge`` and kept by ``keep``;
-a null doc_id is carried through; a document of any length is judged whole, with
-temporaries of about 60 bytes for each of its bytes. Without labelled rows of
+a null doc_id is carried through; a document of any length is judged whole, one over
+a slice (``vectext``) in pieces: beside the text itself, a byte a word and bounded
+temporaries are held. Without labelled rows of
 both kinds there is no model, and what passes the base rules is kept.
 
 Windows and lines are compared by 64-bit hashes within one text; a text of a
@@ -43,13 +44,20 @@ KEEP_FROM = 0.2
 SAMPLE_PER_LABEL = 1000
 STEPS, RATE, RIDGE = 80, 1.0, 1e-6
 
+#: Hashes of a long document that are compared at a time.
+PASS_HASHES = 1 << 21
+
+_U = np.uint64
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def base_counts(s: vt.Slice, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+def base_counts(s: vt.Slice | vt.Long) -> list[np.ndarray]:
     """The five counts of each document of a slice, in the order of COUNTS."""
+    if isinstance(s, vt.Long):
+        return [np.array([n]) for n in _long_counts(s)]
+    starts, ends = ht.word_spans(s)
     doc_of_word = np.searchsorted(s.off, starts, "right") - 1
     n_words = np.bincount(doc_of_word, minlength=s.n)
     chars = s.count(~vt.WHITE[s.b] & ((s.b & 0xC0) != 0x80))
@@ -68,9 +76,7 @@ def base_counts(s: vt.Slice, starts: np.ndarray, ends: np.ndarray) -> list[np.nd
     m = len(starts) - WINDOW + 1
     if m > 0:
         h = s.span_hash(starts, ends)
-        win = np.zeros(m, np.uint64)
-        for k in range(WINDOW):
-            win = vt.mix(win + h[k : k + m])
+        win = _windows(h)
         whole = doc_of_word[:m] == doc_of_word[WINDOW - 1 :]
         at = np.flatnonzero(whole)
         twice = at[vt.repeated(win[at] ^ doc_keys[doc_of_word[at]])]
@@ -82,6 +88,47 @@ def base_counts(s: vt.Slice, starts: np.ndarray, ends: np.ndarray) -> list[np.nd
     return [n_words, chars, symbols, dup_lines, repeat]
 
 
+def _windows(h: np.ndarray) -> np.ndarray:
+    """Hashes of WINDOW words in a row."""
+    m = max(0, len(h) - WINDOW + 1)
+    win = np.zeros(m, np.uint64)
+    for k in range(WINDOW):
+        win = vt.mix(win + h[k : k + m])
+    return win
+
+
+def _long_counts(doc: vt.Long) -> list[int]:
+    """The counts of one long document. Hashes are compared a part of them at a time, by another pass over the text for each."""
+    chars = symbols = 0
+    for b in doc.pieces():
+        chars += int((~vt.WHITE[b] & ((b & 0xC0) != 0x80)).sum())
+        symbols += int(_SYMBOL[b].sum())
+    n_words = sum(len(h) for h, _ in doc.spans(~vt.WHITE))
+    lines = np.arange(256) != 10
+    n_lines = sum(int(word.sum()) for _, word in doc.spans(lines))
+    parts, distinct = _U(n_lines // PASS_HASHES + 1), 0
+    for r in range(int(parts)):
+        got = [h[word & (h % parts == _U(r))] for h, word in doc.spans(lines)]
+        distinct += len(np.unique(np.concatenate(got))) if got else 0
+    inside = np.zeros(n_words, bool)
+    parts = _U(n_words // PASS_HASHES + 1)
+    for r in range(int(parts)):
+        wins, places, last, at = [], [], np.zeros(0, np.uint64), 0
+        for h, _ in doc.spans(~vt.WHITE):
+            h = np.append(last, h)
+            win = _windows(h)
+            mine = np.flatnonzero(win % parts == _U(r))
+            wins.append(win[mine])
+            places.append(mine + at)
+            last = h[max(0, len(h) - WINDOW + 1) :]
+            at += len(h) - len(last)
+        if wins:
+            twice = np.concatenate(places)[vt.repeated(np.concatenate(wins))]
+            for k in range(WINDOW):
+                inside[twice + k] = True
+    return [n_words, chars, symbols, n_lines - distinct, int(inside.sum())]
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Weights of the hashed n-grams, bias, and Platt's slope and offset; ``weights`` None: no model."""
@@ -155,9 +202,8 @@ def _worker(docs: DataFrame, model: QualityModel, keep_from: float, report: bool
         for b in batches:
             parts, probs = [], []
             for s in vt.slices(b.column("text")):
-                starts, ends = ht.word_spans(s)
-                parts.append(base_counts(s, starts, ends))
-                probs.append(np.full(s.n, np.nan) if m.weights is None else m.probability(ht.scores(s, starts, ends, m.weights)))
+                parts.append(base_counts(s))
+                probs.append(np.full(s.n, np.nan) if m.weights is None else m.probability(ht.scores(s, m.weights)))
             if not parts:
                 continue
             counts = [np.concatenate(c) for c in zip(*parts)]

@@ -11,26 +11,33 @@ on every run and every machine, and differs between seeds, documents and places.
 With p = 0 it is the library's own encoding.
 
 Chunks of all documents of a slice are merged in lockstep as arrays, one merge a
-chunk and round; chunks over ``LONG_CHUNK`` characters go through a heap instead,
-so a text without spaces stays O(n log n).
+chunk and round; chunks over ``LONG_CHUNK`` characters go through an agenda (a heap)
+instead, so a text without spaces stays O(n log n). Chunks are first cut where two
+neighbouring characters stand together in no piece, since nothing can merge there.
+A document over ``SLICE_BYTES`` is encoded in pieces between such cuts, with the
+places of its characters counted on.
 
 Decoding is lossless for every text: characters outside the vocabulary, and a
 U+2581 that stands in the text itself, are spelt as byte pieces.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text;
 a null doc_id hashes as one of its own; repeated rows get the same tokens; an
-empty table gives no rows; other columns are ignored; a text of any length is
-encoded whole, one document being the smallest unit of memory.
+empty table gives no rows; other columns are ignored; bytes that aren't UTF-8 are
+read as U+FFFD and told by ``lossless`` false; ids outside the vocabulary and null
+ones decode to nothing. A text of any length is encoded whole: beside it and its ids,
+memory grows with the longest stretch without a cut (about 300 bytes a character;
+words, numbers and scripts with many characters are cut often, a run of one letter isn't).
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import vectext as vt
@@ -70,12 +77,15 @@ class Vocabulary:
         for p, i in ids.items():
             if len(p) == 1:
                 self.char[ord(p)] = i
+        self.nothing = next(i for i in range(n) if sp.is_unknown(i))
         self.byte0 = sp.piece_to_id("<0x00>")
         if n >= _ID:
             raise ValueError(f"at most {_ID - 1} pieces")
         # (left id, right id) -> code of the merge, without a place
         self.pairs = {(ids[p[:k]], ids[p[k:]]): rank[sp.get_score(i)] << _RANK_AT | i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
         self._table()
+        # neighbouring characters of a piece; where two stand in none together, nothing merges
+        self._near = np.array(sorted({ord(a) << 21 | ord(b) for p in ids for a, b in zip(p, p[1:])} | {-1}), np.int64)
         blobs = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
         self.blob_len = np.array([len(b) for b in blobs], np.int64)
@@ -96,6 +106,12 @@ class Vocabulary:
             rest[first] = False
             keys, vals, at = keys[rest], vals[rest], (at[rest] + 1) & (len(self._keys) - 1)
 
+    def apart(self, cp: np.ndarray) -> np.ndarray:
+        """For each of the code points but the first: can nothing merge over its start?"""
+        keys = cp[:-1].astype(np.int64) << 21 | cp[1:]
+        at = np.minimum(np.searchsorted(self._near, keys), len(self._near) - 1)
+        return self._near[at] != keys
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _U(_A)) >> self._shift).astype(np.int64)
 
@@ -231,13 +247,23 @@ def _lockstep(v: Vocabulary, sym: np.ndarray, starts: np.ndarray, lengths: np.nd
         code[again] = codes(again)
 
 
-def encode_slice(v: Vocabulary, s: vt.Slice, doc_keys: np.ndarray, dropout: float = 0.0, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, n + 1 offsets) of a slice's documents; doc_keys: a uint64 for each."""
+def _marked(cp: np.ndarray) -> np.ndarray:
+    """Code points with U+2581 for spaces, and a literal one as _LITERAL."""
+    return np.where(cp == _SPACE, _LITERAL, np.where(cp == 32, _SPACE, cp))
+
+
+def encode_slice(v: Vocabulary, s: vt.Slice, doc_keys: np.ndarray, dropout: float = 0.0, seed: int = SEED, begun: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, n + 1 offsets) of a slice's documents; doc_keys: a uint64 for each.
+
+    ``begun``: characters before the slice of the one document that it continues, the
+    dummy prefix among them.
+    """
     cp, off = s.code_points()
     full = off[1:] > off[:-1]
-    cp = np.where(cp == _SPACE, _LITERAL, np.where(cp == 32, _SPACE, cp))
-    cp = np.insert(cp, off[:-1][full], _SPACE)
-    off = off + np.concatenate([[0], np.cumsum(full)])
+    cp = _marked(cp)
+    if not begun:
+        cp = np.insert(cp, off[:-1][full], _SPACE)
+        off = off + np.concatenate([[0], np.cumsum(full)])
     if not len(cp):
         return np.zeros(0, np.int32), np.zeros(s.n + 1, np.int64)
     sym = v.char[cp]
@@ -247,9 +273,13 @@ def encode_slice(v: Vocabulary, s: vt.Slice, doc_keys: np.ndarray, dropout: floa
     head[off[:-1][full]] = True
     starts = np.flatnonzero(head)
     lengths = np.diff(np.append(starts, len(cp)))
+    if (lengths > LONG_CHUNK).any():
+        head[1:] |= v.apart(cp)
+        starts = np.flatnonzero(head)
+        lengths = np.diff(np.append(starts, len(cp)))
     drop = None
     if dropout > 0:
-        drop = Dropout(dropout, seed, doc_keys, np.repeat(np.arange(s.n), np.diff(off)), off[:-1])
+        drop = Dropout(dropout, seed, doc_keys, np.repeat(np.arange(s.n), np.diff(off)), off[:-1] - begun)
     out = np.full(len(cp), -2, np.int64)
     short = lengths <= LONG_CHUNK
     if short.any():
@@ -271,13 +301,62 @@ def encode_slice(v: Vocabulary, s: vt.Slice, doc_keys: np.ndarray, dropout: floa
     return ids.astype(np.int32), before[np.searchsorted(at, off)]
 
 
-def decode_ids(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(UTF-8 bytes, n + 1 offsets) of the texts that the ids spell, without the dummy prefix."""
+def _long_pieces(v: Vocabulary, b: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """A document's bytes in pieces of ``size`` or, where nothing may be cut, more."""
+    at = 0
+    while at < len(b):
+        step, cut = size, len(b)
+        while at + step < len(b):
+            part = b[at : at + step]
+            space = part == 32
+            heads = np.flatnonzero(space[1:] & ~space[:-1])
+            if len(heads):
+                cut = at + int(heads[-1]) + 1
+                break
+            # no space: between characters that stand together in no piece
+            begins = np.flatnonzero((part & 0xC0) != 0x80)
+            loose = np.flatnonzero(v.apart(_marked(vt.code_points(part[: begins[-1]])))) if len(begins) > 2 else ()
+            if len(loose):
+                cut = at + int(begins[loose[-1] + 1])
+                break
+            step *= 2
+        yield b[at:cut]
+        at = cut
+
+
+def encoded(v: Vocabulary, parts: Iterable[vt.Slice | vt.Long], keys: np.ndarray, dropout: float, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of each slice: ids, n + 1 offsets, whether decoding gives the document again, and its first document's number."""
+    for s in parts:
+        own = keys[s.first : s.first + s.n]
+        if isinstance(s, vt.Slice):
+            ids, off = encode_slice(v, s, own, dropout, seed)
+            back, at = decode_ids(v, ids, off)
+            same = np.diff(at) == np.diff(s.off)
+            if len(back) == len(s.b) and same.all():
+                same = s.count(back != s.b) == 0 if len(back) else same
+            else:
+                same = np.array([np.array_equal(back[at[i] : at[i + 1]], s.b[s.off[i] : s.off[i + 1]]) for i in range(s.n)])
+            yield ids, off, same, s.first
+            continue
+        found, begun, same = [], 0, True
+        for b in _long_pieces(v, s.b, SLICE_BYTES):
+            ids, off = encode_slice(v, vt.Slice(0, b, np.array([0, len(b)])), own, dropout, seed, begun)
+            same = same and np.array_equal(decode_ids(v, ids, off, not begun)[0], b)
+            begun += int(((b & 0xC0) != 0x80).sum()) + (not begun)
+            found.append(ids)
+        ids = np.concatenate(found)
+        yield ids, np.array([0, len(ids)]), np.array([same]), s.first
+
+
+def decode_ids(v: Vocabulary, ids: np.ndarray, off: np.ndarray, prefixed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes, n + 1 offsets) of the texts that the ids spell, without the dummy prefix that they begin with if ``prefixed``."""
     n = v.blob_len[ids]
     ends = np.cumsum(n)
     src = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(v.blob_at[ids] - (ends - n), n)
     b = v.blob[src]
     at = np.concatenate([[0], ends])[off]
+    if not prefixed:
+        return b, at
     full = at[1:] > at[:-1]
     first = at[:-1][full]
     first = first[b[first] == 32]
@@ -296,28 +375,32 @@ def keys_of(col: pa.Array) -> np.ndarray:
     return k
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """doc_id, n_tokens, ids, lossless (decoding the ids gave the text again). One scan, no shuffle."""
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, number: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, lossless (decoding the ids gave the text again). One scan, no shuffle.
+
+    ``number`` names a column that tells rows of one doc_id apart: copies of a
+    document with other numbers get other segmentations. Number 1 is like none.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for b in batches:
             keys = keys_of(b.column("doc_id"))
-            for s in vt.slices(b.column("text"), SLICE_BYTES):
-                ids, off = encode_slice(v, s, keys[s.first : s.first + s.n], dropout, seed)
-                back, at = decode_ids(v, ids, off)
-                same = np.diff(at) == np.diff(s.off)
-                if len(back) == len(s.b) and same.all():
-                    wrong = s.count(back != s.b) if len(back) else np.zeros(s.n, np.int64)
-                    same = wrong == 0
-                else:
-                    same = np.array([np.array_equal(back[at[i] : at[i + 1]], s.b[s.off[i] : s.off[i + 1]]) for i in range(s.n)])
+            if number:
+                copy = np.asarray(b.column("number").fill_null(1)).view(np.uint64) - _U(1)
+                keys = np.where(copy == 0, keys, vt.mix(keys ^ copy * _U(_B)))
+            for ids, off, same, first in encoded(v, vt.slices(b.column("text"), SLICE_BYTES), keys, dropout, seed):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(s.first, s.n), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), pa.array(same)],
+                    [b.column("doc_id").slice(first, len(same)), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), pa.array(same)],
                     ["doc_id", "n_tokens", "ids", "lossless"],
                 )
 
-    return texts(docs).mapInArrow(work, "doc_id bigint, n_tokens bigint, ids array<int>, lossless boolean")
+    rows = texts(docs, F.col(number).cast("bigint").alias("number")) if number else texts(docs)
+    return rows.mapInArrow(work, "doc_id bigint, n_tokens bigint, ids array<int>, lossless boolean")
+
+
+#: Ids that are decoded at a time.
+DECODE_IDS = 1 << 20
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -326,11 +409,20 @@ def decode(tokens: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for b in batches:
-            lists = [np.array(x or [], np.int64) for x in b.column("ids").to_pylist()]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            raw, at = decode_ids(v, flat, off)
-            out = [raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(work, "doc_id bigint, text string")
+            lists = b.column("ids").cast(pa.large_list(pa.int64()))
+            off = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists).fill_null(0), np.int64))])
+            flat = np.asarray(lists.flatten().fill_null(-1), np.int64)
+            flat = np.where((flat >= 0) & (flat < len(v.blob_len)), flat, v.nothing)
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + DECODE_IDS, "right")) - 1)
+                if off[j] - off[i] <= DECODE_IDS:
+                    raw, at = decode_ids(v, flat[off[i] : off[j]], off[i : j + 1] - off[i])
+                    out = [raw[p:q].tobytes() for p, q in zip(at[:-1], at[1:])]
+                else:
+                    cuts = range(int(off[i]), int(off[j]), DECODE_IDS)
+                    out = [b"".join(decode_ids(v, x := flat[k : min(k + DECODE_IDS, off[j])], np.array([0, len(x)]), k == off[i])[0].tobytes() for k in cuts)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], ["doc_id", "text"])
+                i = j
+
+    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<bigint>").alias("ids")).mapInArrow(work, "doc_id bigint, text string")

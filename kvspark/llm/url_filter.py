@@ -9,11 +9,12 @@ rule that fits; the longest (host and path together, then the path, then the
 rule's text) wins, whether it allows or blocks. URLs that no rule fits get the
 default verdict.
 
-The trie is broadcast while the rules' texts stay under ``BROADCAST_BYTES``;
-beyond that, ``judge`` joins instead: each URL lists its pairs of host suffix and
-path up to a slash (both bounded by the URL's own length) and is joined with the
-rules under the same pair, which splits by those pairs however many rules there
-are.
+The trie is broadcast while what it takes in a worker's memory, reckoned from the
+rules' labels and segments, stays under ``BROADCAST_BYTES``; beyond that, ``judge``
+joins instead: each URL lists its pairs of host suffix and path up to a slash (both
+bounded by the URL's own length) and is joined with the rules under the same pair,
+which splits by those pairs however many rules there are. URLs under one pair (``com``
+and ``/``) are dealt to several tasks.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased. Path: from there up to ``?``, ``#`` or the end. A null URL, or one
@@ -21,7 +22,8 @@ without ``://``, has an empty host and path, which no rule fits.
 
 Defined cases: equal URLs get equal verdicts, one row each; an empty table gives
 no rows; columns named like the results are replaced; URLs may be of any length;
-no rules: every URL gets the default; of rules with equal host and path ``block`` wins.
+no rules: every URL gets the default; of rules with equal host and path ``block`` wins;
+a rule with a null host, path or verdict, or an empty host, fits no URL.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 ALLOW, BLOCK = "allow", "block"
-BROADCAST_BYTES = 32 << 20
+#: Memory of the broadcast trie, and what a rule takes: itself, and a dictionary for each label and segment.
+BROADCAST_BYTES, RULE_BYTES, NODE_BYTES = 64 << 20, 400, 350
+#: Tasks that the URLs under one pair are dealt to in the join.
+WAYS = 16
 Rule = tuple[str, str, str]
 
 
@@ -47,6 +52,15 @@ def parts(url: str = "url") -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def _lower(host: str) -> str:
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+
+
+def _bytes(host: str, path: str) -> int:
+    """What a rule takes in the trie, at most about."""
+    return RULE_BYTES + 2 * len(host) + 2 * len(path) + NODE_BYTES * (host.count(".") + path.count("/") + 2)
+
+
 def _split(path: str) -> tuple[list[str], str]:
     """Whole segments of a path (each ended by a slash), and the rest."""
     *whole, rest = path.split("/")
@@ -100,14 +114,18 @@ def judge(urls: DataFrame, rules: list[Rule] | DataFrame, default: str = ALLOW,
     """
     host, path = parts(url)
     split = urls.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    if isinstance(rules, DataFrame):
-        size = rules.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
+    if not isinstance(rules, DataFrame):
+        rules = [r for r in rules if None not in r and r[0]]
+        if sum(_bytes(h, p) for h, p, _ in rules) > broadcast_bytes:
+            return _joined(split, urls.sparkSession.createDataFrame(rules, "host string, path string, verdict string"), default)
+    else:
+        rules = rules.select("host", "path", "verdict").dropna().filter("host != ''")
+        nodes = F.length(F.regexp_replace("host", r"[^.]", "")) + F.length(F.regexp_replace("path", r"[^/]", "")) + 2
+        size = rules.agg(F.sum(RULE_BYTES + 2 * F.length("host") + 2 * F.length("path") + NODE_BYTES * nodes)).first()[0] or 0
         if size > broadcast_bytes:
             return _joined(split, rules, default)
-        rules = [(r.host, r.path, r.verdict) for r in rules.select("host", "path", "verdict").collect()]
-    elif sum(len(h) + len(p) + 64 for h, p, _ in rules) > broadcast_bytes:
-        return _joined(split, urls.sparkSession.createDataFrame(rules, "host string, path string, verdict string"), default)
-    sent = urls.sparkSession.sparkContext.broadcast(Trie([(h.lower(), p, v) for h, p, v in rules]))
+        rules = [tuple(r) for r in rules.collect()]
+    sent = urls.sparkSession.sparkContext.broadcast(Trie([(_lower(h), p, v) for h, p, v in rules]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = sent.value
@@ -122,7 +140,7 @@ def judge(urls: DataFrame, rules: list[Rule] | DataFrame, default: str = ALLOW,
 
 def _joined(split: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     keyed = rules.select(
-        F.lower("host").alias("r_host"),
+        F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("r_host"),
         F.expr("substring(path, 1, length(path) - locate('/', reverse(path)) + 1)").alias("r_stem"),
         F.col("path").alias("r_path"),
         F.col("verdict").alias("r_verdict"),
@@ -134,10 +152,17 @@ def _joined(split: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     pieces = F.split("path", "/")
     stems = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(pieces, F.lit(1), i), "/"), F.lit("/"))))
     asked = once.select("host", "path", F.explode(suffixes).alias("r_host"), stems.alias("stems")).select("host", "path", "r_host", F.explode("stems").alias("r_stem"))
-    fit = asked.join(keyed, ["r_host", "r_stem"]).filter(F.expr("startswith(path, r_path)") & (F.col("host") != ""))
+    # rules are few beside URLs: each is sent WAYS times, so that no pair's URLs stay together
+    dealt = asked.withColumn("way", F.pmod(F.xxhash64("host", "path"), F.lit(WAYS)).cast("int"))
+    keyed = keyed.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    fit = dealt.join(keyed, ["r_host", "r_stem", "way"]).filter(F.expr("startswith(path, r_path)") & (F.col("host") != ""))
     rank = F.struct(
         (F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_path").alias("b"), F.concat("r_host", "r_path").alias("rule"), (F.col("r_verdict") == BLOCK).alias("c"), F.col("r_verdict").alias("verdict")
     )
-    best = fit.groupBy("host", "path").agg(F.max(rank).alias("uf_best"))
-    out = split.join(best, ["host", "path"], "left")
-    return out.select(*split.columns, F.col("uf_best.rule").alias("rule"), F.coalesce("uf_best.verdict", F.lit(default)).alias("verdict"))
+    best = fit.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    # one column beside host and path, so no other name can clash; equal URLs, however many, are dealt by the rest of their rows
+    whole = split.select("host", "path", F.struct(*(F.col(f"`{c}`") for c in split.columns)).alias("row"))
+    ways = F.pmod(F.crc32(F.to_json("row").cast("binary")), F.lit(WAYS)).cast("int")
+    spread = best.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    out = whole.withColumn("way", ways).join(spread, ["host", "path", "way"], "left")
+    return out.select("row.*", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -51,10 +51,10 @@ def plain_counts(t):
     return [len(w), chars, symbols, dup, len(inside)]
 
 
-def counts_of(texts):
+def counts_of(texts, size=None):
     out = []
-    for s in vt.slices(pa.array(texts, pa.string()), 64):
-        out += list(zip(*(c.tolist() for c in qr.base_counts(s, *ht.word_spans(s)))))
+    for s in vt.slices(pa.array(texts, pa.string()), size):
+        out += list(zip(*(c.tolist() for c in qr.base_counts(s))))
     return [list(x) for x in out]
 
 
@@ -68,6 +68,59 @@ def test_base_counts_random(texts):
     assert counts_of(texts) == [plain_counts(t) for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é🙂\n\t#", max_size=90)), max_size=4), st.sampled_from([5, 8, 16]), st.sampled_from([1, 2, 1000]))
+def test_documents_in_pieces_equal_whole_ones(texts, size, hashes):
+    """Words, lines, windows and n-grams over the cuts, and hashes compared in several passes."""
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=ht.BUCKETS * ht.FAMILIES).astype(np.float32)
+    column = pa.array(texts, pa.string())
+    whole = [ht.scores(s, w) for s in vt.slices(column)]
+    rows = [(c, np.frombuffer(v, np.float32).tolist()) for c, v in ht.sparse_rows(column)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(vt, "SLICE_BYTES", size)
+        m.setattr(qr, "PASS_HASHES", hashes)
+        assert counts_of(texts) == [plain_counts(t) for t in texts]
+        assert np.allclose(np.concatenate([np.zeros(0), *(ht.scores(s, w) for s in vt.slices(column))]), np.concatenate([np.zeros(0), *whole]))
+        got = list(ht.sparse_rows(column))
+    assert [c for c, _ in got] == [c for c, _ in rows] and all(np.allclose(np.frombuffer(v, np.float32), x) for (_, v), (_, x) in zip(got, rows))
+
+
+LARGE = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from kvspark.llm import hashed_text as ht, quality_rules as qr, sentencepiece_codec as sp, vectext as vt
+rng = np.random.default_rng(0)
+words = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(1, 10, 5000)]
+text = b"".join(b"".join((words[i], b" " if i % 9 else b"\\n")) for i in rng.integers(0, 5000, int(sys.argv[2]) * 1_000_000 // 6))
+column = pa.array([text.decode()], pa.large_string())
+size = len(text)
+del text
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+(s,) = vt.slices(column)
+if sys.argv[1] == "rules":
+    w = np.ones(ht.BUCKETS * ht.FAMILIES, np.float32)
+    counts = qr.base_counts(s)
+    assert abs(ht.scores(s, w)[0] - 3) < 1e-9 and counts[0][0] > size / 12
+else:
+    (row,) = sp.encoded(sp.vocabulary(sp.MODEL_PATH), [s], np.zeros(1, np.uint64), 0.1, 1)
+    assert row[2].all() and row[1][-1] == len(row[0])
+print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("what", ["rules", "pieces"])
+def test_a_long_document_takes_bounded_memory(what):
+    import subprocess
+    import sys
+
+    root = __file__.rsplit("/tests/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", LARGE, what, "24"], cwd=root, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr
+    size, grown = map(int, out.stdout.split())
+    assert size > 20 << 20 and grown < 350, out.stdout
+
+
 def test_quality_rules_learn_and_keep(spark):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     model = qr.fit(docs, labels)
@@ -360,7 +413,7 @@ def test_mixing_clashes_and_repeats(spark):
 
 def encoded(texts, p, seed=1, long_chunk=None):
     v, out, back = sp.vocabulary(sp.MODEL_PATH), [], []
-    for s in vt.slices(pa.array(texts, pa.string()), 200):
+    for s in vt.slices(pa.array(texts, pa.string()), 1 << 13):
         ids, off = sp.encode_slice(v, s, np.arange(s.first, s.first + s.n, dtype=np.uint64), p, seed)
         b, at = sp.decode_ids(v, ids, off)
         out += [ids[off[i] : off[i + 1]].tolist() for i in range(s.n)]
@@ -398,6 +451,40 @@ def test_heap_and_lockstep_agree(monkeypatch):
     assert len(encoded(ts, 1.0)[0][0]) > len(encoded(ts, 0.0)[0][0])
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.text(alphabet="abethin \u2581\n你好é🙂1", max_size=80), max_size=4), st.sampled_from([0.0, 0.3]), st.sampled_from([4, 9, 16]))
+def test_encoding_in_pieces_equals_whole(ts, p, size):
+    """Cut at spaces, and at characters that stand together in no piece; also with hardly any chunk short."""
+    v, keys, column = sp.vocabulary(sp.MODEL_PATH), np.arange(9, dtype=np.uint64), pa.array(ts, pa.string())
+
+    def ids_of(parts):
+        return [ids[i:j].tolist() for ids, off, same, _ in sp.encoded(v, parts, keys, p, 1) if same.all() for i, j in zip(off, off[1:])]
+
+    want = ids_of(vt.slices(column))
+    assert len(want) == len(ts)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sp, "LONG_CHUNK", 3)
+        m.setattr(sp, "SLICE_BYTES", size)
+        assert ids_of(vt.slices(column, size)) == want
+
+
+def test_copies_with_numbers_get_other_segmentations(spark):
+    docs = spark.createDataFrame([(7, "the thinking theatre of the hinterland " * 5, n) for n in (1, 1, 2, 3, None)], "doc_id bigint, text string, copy int")
+    rows = [tuple(r.ids) for r in sp.encode(docs, dropout=0.3, number="copy").collect()]
+    assert len(set(rows)) == 3 and rows.count(tuple(sp.encode(docs.limit(1), dropout=0.3).first().ids)) == 3
+
+
+def test_decoding_in_pieces_and_of_odd_ids(spark, monkeypatch):
+    docs = docs_of(spark, AWKWARD)
+    enc = sp.encode(docs)
+    monkeypatch.setattr(sp, "DECODE_IDS", 3)
+    assert {r.doc_id: r.text for r in sp.decode(enc).collect()} == {i: t or "" for i, t in enumerate(AWKWARD)}
+    odd = spark.createDataFrame([(1, [-5, None, 10**6]), (2, None)], "doc_id bigint, ids array<int>")
+    assert [r.text for r in sp.decode(odd).collect()] == ["", ""]
+    bad = spark.sql("select 1L doc_id, cast(x'61ff62' as string) text")
+    assert not sp.encode(bad).first().lossless
+
+
 def test_sentencepiece_frames(spark):
     docs = docs_of(spark, AWKWARD)
     enc = sp.encode(docs, dropout=0.3)
@@ -480,6 +567,18 @@ def test_url_filter(spark, limit):
     assert {r.verdict for r in uf.judge(frame, []).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("limit", [uf.BROADCAST_BYTES, 0])
+def test_url_rules_with_nulls_and_clashing_columns(spark, limit):
+    rules = [*RULES, (None, "/", "block"), ("x.net", None, "block"), ("x.net", "/", None), ("", "", "block")]
+    clash = ["best", "row", "way", "r_host", "stems", "uf_best"]
+    frame = spark.createDataFrame([(i, u, *clash) for i, u in enumerate(URLS * 2)], "page_id bigint, url string, " + ", ".join(f"{c} string" for c in clash))
+    want = {i: plain_verdict(u) for i, u in enumerate(URLS * 2)}
+    for given in (rules, spark.createDataFrame(rules, "host string, path string, verdict string")):
+        out = uf.judge(frame, given, broadcast_bytes=limit)
+        assert out.columns == [*frame.columns, "host", "path", "rule", "verdict"]
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()} == want
+
+
 # --- 9 quality classifier -------------------------------------------------------------------
 
 
