@@ -2,20 +2,18 @@
 
 Quality rules and the quality classifier drop what they reject, SimHash keeps one
 document of each near-duplicate group, the sources are mixed to their target
-weights, and the mixed corpus is encoded with merge-dropout. The two models are
-fitted on a bounded sample of the labelled rows of the whole ``documents`` table,
+weights, and the mixed corpus is encoded with merge-dropout, each copy of a document
+by a segmentation of its own. The two models are fitted on a bounded sample of the labelled rows of the whole ``documents`` table,
 since an earlier stage has dropped most poor examples from its output.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kvspark.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash
 from kvspark.llm.queries import MIX_SEED, OTHER, TARGETS, table
-from kvspark.llm.work import removed, shared_dir
+from kvspark.llm.work import removed, scratch
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(docs)
+    """Copies of a document are numbered, so that each gets its own segmentation; equal rows, so any numbering gives the same rows."""
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    named = docs.filter("doc_id is not null").select("doc_id", "text", F.row_number().over(copies).alias("copy"))
+    nameless = docs.filter("doc_id is null").select("doc_id", "text", F.lit(1).alias("copy"))
+    return sentencepiece_codec.encode(named.unionByName(nameless), number="copy")
 
 
 STAGES = [
@@ -55,11 +57,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's output is removed once its successor's is written.
     """
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = f"{base}/{k}"
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        out = scratch(spark)
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
-        if k:
-            removed(spark, f"{base}/{k - 1}")
+        if before:
+            removed(spark, before)
+        before = out
     return docs
