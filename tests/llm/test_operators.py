@@ -87,16 +87,21 @@ def test_documents_in_pieces_equal_whole_ones(texts, size, hashes):
 
 
 LARGE = """
-import resource, sys
+import re, sys
 import numpy as np, pyarrow as pa
 from kvspark.llm import hashed_text as ht, quality_rules as qr, sentencepiece_codec as sp, vectext as vt
 rng = np.random.default_rng(0)
-words = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(1, 10, 5000)]
-text = b"".join(b"".join((words[i], b" " if i % 9 else b"\\n")) for i in rng.integers(0, 5000, int(sys.argv[2]) * 1_000_000 // 6))
-column = pa.array([text.decode()], pa.large_string())
+text = rng.integers(97, 123, int(sys.argv[2]) << 20, dtype=np.uint8)
+text[np.cumsum(rng.integers(2, 11, len(text) // 7)) % len(text)] = 32
+text[rng.integers(0, len(text), len(text) // 60)] = 10
 size = len(text)
-del text
-before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+column = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, size])), pa.py_buffer(text))
+open("/proc/self/clear_refs", "w").write("5")  # the peak from here on
+
+def peak(what):
+    return int(re.search(what + r":\\s*(\\d+)", open("/proc/self/status").read()).group(1)) // 1024
+
+before = peak("VmRSS")
 (s,) = vt.slices(column)
 if sys.argv[1] == "rules":
     w = np.ones(ht.BUCKETS * ht.FAMILIES, np.float32)
@@ -105,7 +110,7 @@ if sys.argv[1] == "rules":
 else:
     (row,) = sp.encoded(sp.vocabulary(sp.MODEL_PATH), [s], np.zeros(1, np.uint64), 0.1, 1)
     assert row[2].all() and row[1][-1] == len(row[0])
-print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+print(size, peak("VmHWM") - before)
 """
 
 
@@ -115,10 +120,10 @@ def test_a_long_document_takes_bounded_memory(what):
     import sys
 
     root = __file__.rsplit("/tests/", 1)[0]
-    out = subprocess.run([sys.executable, "-c", LARGE, what, "24"], cwd=root, capture_output=True, text=True, timeout=600)
+    out = subprocess.run([sys.executable, "-c", LARGE, what, "12"], cwd=root, capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr
     size, grown = map(int, out.stdout.split())
-    assert size > 20 << 20 and grown < 350, out.stdout
+    assert size == 12 << 20 and 10 < grown < 350, out.stdout
 
 
 def test_quality_rules_learn_and_keep(spark):
