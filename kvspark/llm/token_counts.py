@@ -1,20 +1,25 @@
 """Token counts of documents in flat token files, by a separator scan.
 
 A flat token file is nothing but token ids, two or four bytes each, with an
-end-of-document id after each document; it has no index. It is read as
-fixed-size blocks (file, block, tokens) that cut documents anywhere. Each block
-is searched for separators with one vectorised comparison, on its own. Documents
-that cross blocks are stitched by a prefix scan over the blocks' summaries
-(tokens, separators, place of the last separator): first within runs of
-``RUN`` blocks, then over the runs' totals, so that no task holds the summaries
-of a whole large file. Only summaries and lengths are shuffled, never tokens.
+end-of-document id after each document; it has no index. Files are read by byte
+ranges, in parallel and of any size, as fixed-size blocks (file, block, tokens) that
+cut documents anywhere. Each block is searched for separators with one vectorised
+comparison, on its own. Documents that cross blocks are stitched by a prefix scan
+over the blocks' summaries (tokens, separators, place of the last separator): first
+within runs of ``RUN`` blocks, then over the runs' totals, so that no task holds the
+summaries of a whole large file. Only summaries and lengths are shuffled, never tokens.
+
+``count_tokens`` writes such files into the shared folder and scans them. A task's
+file counts only by the manifest row that names it, and Spark commits the manifest of
+one attempt, so files of failed or repeated attempts are never read.
 
 Defined cases: adjacent separators enclose a document of 0 tokens; what follows
 a file's last separator is a document that isn't closed (``closed`` false), if it
 has a token; a file without separators is one such document; empty files and
-tables give no rows; null ``tokens`` count as an empty block; extra columns are
-ignored. In ``write_flat`` null and empty texts are documents of 0 tokens, equal
-rows are counted one by one, and a text of any length is encoded whole.
+tables give no rows; a file that ends amid a token is an error; null ``tokens`` count
+as an empty block; extra columns are ignored. In ``write_flat`` null and empty texts
+are documents of 0 tokens, equal rows are counted one by one, and a text of any
+length is encoded whole.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .work import removed, saved, shared_dir, texts
+from . import files
+from .work import removed, saved, scratch, texts
 
 #: A public byte-level BPE as ranks, and the id that it leaves free.
 RANKS_PATH, SEPARATOR = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
@@ -37,6 +43,8 @@ RANKS_PATH, SEPARATOR = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 1 << 16
 RUN = 1024
+#: Blocks that one row of the plan stands for.
+RANGE_BLOCKS = 256
 
 
 @lru_cache(maxsize=2)
@@ -48,64 +56,68 @@ def _encoder(path: str):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_flat(docs: DataFrame, path: str, ranks_path: str = RANKS_PATH, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Encode ``docs`` to flat token files under ``path``: one a partition, cut into blocks of little-endian uint16.
+def write_flat(docs: DataFrame, path: str, ranks_path: str = RANKS_PATH, separator: int = SEPARATOR) -> tuple[list[tuple[int, str, int]], DataFrame]:
+    """Encode ``docs`` to flat token files under ``path``, one a partition, of little-endian uint16.
 
-    Returns the blocks (file, block, tokens), and the order of the documents in
-    each file (file, ordinal, doc_id) as a manifest beside it.
+    Returns the files (number, URI, bytes), a row a task, and the order of the
+    documents in each file (file, ordinal, doc_id).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, file = _encoder(ranks_path), TaskContext.get().partitionId()
-        parts, held, block, ordinal = [], 0, 0, 0
-        names = ["file", "block", "tokens", "first", "doc_ids"]
+        enc, number, ordinal = _encoder(ranks_path), TaskContext.get().partitionId(), 0
+        name, out, size = f"{path}/{number:06d}-{uuid.uuid4().hex}.bin", None, 0
 
-        def row(number: int | None, tokens: bytes | None, first: int | None, ids: list | None) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([file, number, tokens, first, ids], types)], names)
+        def row(first: int | None, ids: list | None, size: int | None) -> pa.RecordBatch:
+            types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([number, name, first, ids, size], types)], ["file", "uri", "first", "doc_ids", "bytes"])
 
         for b in batches:
-            yield row(None, None, ordinal, b.column("doc_id").to_pylist())
-            ordinal += b.num_rows
+            if not b.num_rows:
+                continue
+            out = out or files.writer(name)
             for text in b.column("text"):
-                ids = enc.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype("<u2")
-                parts += [ids, np.array([separator], "<u2")]
-                held += len(ids) + 1
-                if held >= block_tokens:
-                    flat = np.concatenate(parts)
-                    for i in range(0, held - block_tokens + 1, block_tokens):
-                        yield row(block, flat[i : i + block_tokens].tobytes(), None, None)
-                        block += 1
-                    parts = [flat[held - held % block_tokens :]]
-                    held %= block_tokens
-        if held:
-            yield row(block, np.concatenate(parts).tobytes(), None, None)
-
-    rows = texts(docs).mapInArrow(work, "file bigint, block bigint, tokens binary, first bigint, doc_ids array<bigint>")
-    rows.write.option("compression", "zstd").parquet(path)
-    back = docs.sparkSession.read.parquet(path)
-    order = back.filter("block is null").select("file", "first", F.posexplode("doc_ids").alias("at", "doc_id"))
-    return back.filter("block is not null").select("file", "block", "tokens"), order.select("file", (F.col("first") + F.col("at")).alias("ordinal"), "doc_id")
+                out.write(enc.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype("<u2"))
+                out.write(np.array([separator], "<u2"))
+            yield row(ordinal, b.column("doc_id").to_pylist(), None)
+            ordinal += b.num_rows
+        if out is not None:
+            size = out.tell()
+            out.close()
+            yield row(None, None, size)
+
+    manifest = saved(texts(docs).mapInArrow(work, "file bigint, uri string, first bigint, doc_ids array<bigint>, bytes bigint"))
+    written = [tuple(r) for r in manifest.filter("bytes is not null").select("file", "uri", "bytes").collect()]
+    order = manifest.filter("bytes is null").select("file", "first", F.posexplode("doc_ids").alias("at", "doc_id"))
+    return written, order.select("file", (F.col("first") + F.col("at")).alias("ordinal"), "doc_id")
 
 
 def read_flat(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of raw token files at ``path`` (a file, folder or glob that Spark can read).
+    """Blocks of raw token files at ``path`` (a file, folder or glob); ``file`` is the file's URI."""
+    return read_ranges(spark, [(uri, uri, size) for uri, size in files.listed(spark, path)], width, block_tokens)
 
-    ``file`` is the file's path. Spark's binaryFile source reads a file in one
-    piece, up to 2 GB.
-    """
+
+def read_ranges(spark: SparkSession, named: list[tuple], width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """file, block, tokens of files (key, URI, bytes), read by ranges of RANGE_BLOCKS blocks wherever these lie."""
+    if odd := [uri for _, uri, size in named if size % width]:
+        raise ValueError(f"not a whole number of tokens: {odd[0]}")
     cut = block_tokens * width
+    kind = "bigint" if all(isinstance(k, int) for k, *_ in named) and named else "string"
+    rows = spark.createDataFrame([x for x in named if x[2]], f"file {kind}, uri string, bytes bigint")
+    starts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("bytes") - 1) / (cut * RANGE_BLOCKS)))
+    ranges = rows.select("file", "uri", "bytes", F.explode(starts).alias("range"))
+    count = sum(-(-size // (cut * RANGE_BLOCKS)) for *_, size in named)
+    dealt = ranges.repartition(max(1, min(count, 4 * spark.sparkContext.defaultParallelism)), "uri", "range")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.int64() if kind == "bigint" else pa.string()
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                raw = content.as_buffer()
-                for k in range(0, (raw.size if raw else 0), cut):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([k // cut]), pa.array([raw.slice(k, min(cut, raw.size - k)).to_pybytes()])], ["file", "block", "tokens"]
-                    )
+            for file, uri, size, at in zip(*(b.column(c).to_pylist() for c in ("file", "uri", "bytes", "range"))):
+                with files.reader(uri) as f:
+                    for k in range(at * RANGE_BLOCKS, min((at + 1) * RANGE_BLOCKS, -(-size // cut))):
+                        tokens = f.read_at(min(cut, size - k * cut), k * cut)
+                        yield pa.RecordBatch.from_arrays([pa.array([file], arrow), pa.array([k], pa.int64()), pa.array([tokens], pa.binary())], ["file", "block", "tokens"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "file string, block bigint, tokens binary")
+    return dealt.mapInArrow(work, f"file {kind}, block bigint, tokens binary")
 
 
 def scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2) -> DataFrame:
@@ -158,10 +170,9 @@ def stitch(found: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, file, ordinal, n_tokens: encodes ``docs`` to flat files in the shared folder and scans those."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/kvspark-flat-{uuid.uuid4().hex}"
-    blocks, order = write_flat(docs, path)
-    # the summaries are read by both levels of the prefix scan; with them and the manifest kept, the files can go
-    found, order = saved(scan(blocks)), saved(order)
+    path = scratch(spark)
+    written, order = write_flat(docs, path)
+    # the summaries are read by both levels of the prefix scan; with them kept, the files can go
+    found = saved(scan(read_ranges(spark, written)))
     removed(spark, path)
-    counts = stitch(found)
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")
+    return order.join(stitch(found), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")

@@ -526,22 +526,35 @@ def test_separator_scan_stitches_blocks(spark, monkeypatch, run):
     assert got == {(f, i): x for f, flat in files.items() for i, x in enumerate(plain_lengths(flat.tolist(), 4))}
 
 
-def test_raw_files(spark, tmp_path):
-    flat = np.random.default_rng(0).integers(0, 9, 1000).astype("<u4")
-    (tmp_path / "x.bin").write_bytes(flat.tobytes())
-    (tmp_path / "y.bin").write_bytes(b"")
-    got = tc.stitch(tc.scan(tc.read_flat(spark, str(tmp_path), 4, 64), 0, 4)).orderBy("ordinal").collect()
-    assert [(r.n_tokens, r.closed) for r in got] == plain_lengths(flat.tolist(), 0)
+@pytest.mark.parametrize("blocks", [1, 3, 256])
+def test_raw_files_by_ranges(spark, tmp_path, monkeypatch, blocks):
+    """Ranges and blocks that cut documents anywhere, over several files."""
+    monkeypatch.setattr(tc, "RANGE_BLOCKS", blocks)
+    rng = np.random.default_rng(0)
+    flats = {"x.bin": rng.integers(0, 9, 1000), "y.bin": np.zeros(0, int), "z.bin": np.full(130, 5), "w.bin": rng.integers(0, 200, 5003)}
+    for name, flat in flats.items():
+        (tmp_path / name).write_bytes(flat.astype("<u4").tobytes())
+    (tmp_path / "_no_data").write_bytes(b"1")
+    frame = tc.stitch(tc.scan(tc.read_flat(spark, str(tmp_path), 4, 64), 0, 4))
+    got = {}
+    for r in frame.orderBy("file", "ordinal").collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.n_tokens, r.closed))
+    assert got == {name: plain_lengths(flat.tolist(), 0) for name, flat in flats.items() if len(flat)}
+    (tmp_path / "odd.bin").write_bytes(b"123")
+    with pytest.raises(ValueError):
+        tc.read_flat(spark, str(tmp_path), 4)
+    assert tc.read_flat(spark, str(tmp_path / "none*")).count() == 0
 
 
 def test_token_counts(spark, tmp_path):
-    docs = docs_of(spark, AWKWARD).unionByName(docs_of(spark, ["<|endoftext|> plain"], 50)).repartition(3)
+    docs = docs_of(spark, AWKWARD).unionByName(docs_of(spark, ["<|endoftext|> plain"] * 2, 50)).unionByName(docs_of(spark, ["same row"], 60)).unionByName(docs_of(spark, ["same row"], 60)).repartition(3)
     enc = tc._encoder(tc.RANKS_PATH)
-    want = {i: len(enc.encode_ordinary(t or "")) for i, t in [*enumerate(AWKWARD), (50, "<|endoftext|> plain")]}
-    assert {r.doc_id: r.n_tokens for r in tc.count_tokens(docs).collect()} == want
-    blocks, order = tc.write_flat(docs, str(tmp_path / "flat"), block_tokens=8)
-    both = order.join(tc.stitch(tc.scan(blocks)), ["file", "ordinal"])
-    assert {r.doc_id: r.n_tokens for r in both.collect()} == want
+    want = sorted((r.doc_id, len(enc.encode_ordinary(r.text or ""))) for r in docs.collect())
+    assert sorted((r.doc_id, r.n_tokens) for r in tc.count_tokens(docs).collect()) == want
+    written, order = tc.write_flat(docs, str(tmp_path / "flat"))
+    (tmp_path / "flat" / "000000-left-by-a-lost-attempt.bin").write_bytes(b"\x01\x00")
+    both = order.join(tc.stitch(tc.scan(tc.read_ranges(spark, written, block_tokens=8))), ["file", "ordinal"])
+    assert sorted((r.doc_id, r.n_tokens) for r in both.collect()) == want
     assert tc.count_tokens(empty(spark)).count() == 0
 
 
