@@ -9,10 +9,13 @@ norms of query and candidate; candidates whose partial score plus that mass stay
 below the k-th best complete score so far are dropped and the survivors are
 compacted. Ties never fall, since only strictly smaller bounds are dropped.
 
-Queries go out in blocks of ``QUERY_BLOCK`` vectors and ``QUERY_BYTES`` bytes at
-most, so what is broadcast is bounded; every block scans the candidates once, where
-they lie, and each task returns at most k rows a query. These partial lists are
-merged by one aggregation.
+The queries are quantised once and written to the shared folder, in files of
+``QUERY_BLOCK`` vectors or ``QUERY_BYTES`` at most; only the files' names come to the
+driver. Then one scan of the table, however many queries there are: each task holds
+its candidates a chunk at a time (``CHUNK_COMPONENTS``) and walks through the queries'
+files for each. While these hold ``KEPT_QUERIES`` at most, a task keeps its best k of
+each from chunk to chunk, as a bar for the next; else they are given out chunk by
+chunk. Either way the partial lists are merged by one aggregation.
 
 Defined cases: a vector that is null, empty or holds a null, NaN or infinite
 component takes no part, as query or candidate; a null id takes no part either.
@@ -26,24 +29,25 @@ scores beyond a long at the long's limits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .work import saved
-
+from . import files
+from .work import saved, scratch
 
 SCALE = 1024
 DIM_BLOCK = 16
 QUERY_BLOCK = 1024
 QUERY_BYTES = 16 << 20
-#: Query blocks that one plan holds; their results are then saved.
-BLOCKS_AT_ONCE = 32
-#: Candidates of a task that are held in vertical layout at a time, by components.
-CHUNK_COMPONENTS = 1 << 20
+#: Queries whose best k a task keeps over its chunks: 16 bytes a place.
+KEPT_QUERIES = 100_000
+#: Candidates of a task that are held in vertical layout at a time, by components of 8 bytes.
+CHUNK_COMPONENTS = 1 << 22
 _LIMIT = float(1 << 52)
 
 
@@ -70,45 +74,61 @@ def quantised(col: pa.Array) -> tuple[dict[int, np.ndarray], dict[int, np.ndarra
 
 def _exact(q: np.ndarray, c: np.ndarray, wide: bool) -> np.ndarray:
     """Inner products of a query with candidates (a column each), as longs."""
+    c = c.astype(np.int64)
     if not wide:
         return q @ c
     lo, hi = -(1 << 63), (1 << 63) - 1
     return np.array([min(hi, max(lo, sum(int(a) * int(b) for a, b in zip(q, col)))) for col in c.T], np.int64)
 
 
+def _edges(d: int) -> list[int]:
+    return [*range(0, d, DIM_BLOCK), d]
+
+
+@dataclass
+class Chunk:
+    """Candidates in vertical layout, long vectors first, since they set a high bar early."""
+
+    ids: np.ndarray
+    f: np.ndarray  # a row a dimension; integers below 2^53, so exact
+    rest: list[np.ndarray]  # norms of what remains after each block of dimensions
+    top: float
+
+    @staticmethod
+    def of(ids: np.ndarray, vecs: np.ndarray) -> Chunk:
+        """From candidates given a row each."""
+        norms = (vecs.astype(np.float64) ** 2).sum(1)
+        order = np.argsort(-norms, kind="stable")
+        f = np.ascontiguousarray(vecs[order].T.astype(np.float64))
+        return Chunk(ids[order], f, [np.sqrt((f[e:] ** 2).sum(0)) for e in _edges(len(f))], float(np.abs(f).max(initial=0)))
+
+
 class Searcher:
     """The best k candidates of each query so far; queries of one length."""
 
-    def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int, best: list | None = None):
         self.ids, self.q, self.k = ids, vecs, k
-        self.edges = list(range(0, vecs.shape[1], DIM_BLOCK)) + [vecs.shape[1]]
+        self.edges = _edges(vecs.shape[1])
         f = vecs.astype(np.float64)
         self.rest = [np.sqrt((f[:, e:] ** 2).sum(1)) for e in self.edges]
         self.top = float(np.abs(f).max(initial=0))
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
-
-    def feed(self, ids: np.ndarray, vecs: np.ndarray) -> None:
-        """Hold candidates (a row each) against every query."""
-        c = np.ascontiguousarray(vecs.T)
-        f = c.astype(np.float64)
-        rest = [np.sqrt((f[e:] ** 2).sum(0)) for e in self.edges]
-        wide = self.top * float(np.abs(f).max(initial=0)) * len(c) >= 2.0**62
-        order = np.argsort(-rest[0], kind="stable")  # long vectors first: they set a high bar early
-        c, ids, rest = c[:, order], ids[order], [r[order] for r in rest]
-        f = f[:, order]
+        self.best: list[tuple[np.ndarray, np.ndarray]] = best or [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+
+    def feed(self, c: Chunk) -> None:
+        """Hold candidates against every query."""
+        wide = self.top * c.top * len(c.f) >= 2.0**62
         for i in range(len(self.ids)):
-            self._one(i, ids, c, f, rest, wide)
+            self._one(i, c.ids, c.f, c.rest, wide)
 
-    def _one(self, i: int, ids: np.ndarray, c: np.ndarray, f: np.ndarray, rest: list[np.ndarray], wide: bool) -> None:
+    def _one(self, i: int, ids: np.ndarray, f: np.ndarray, rest: list[np.ndarray], wide: bool) -> None:
         q, (have, have_ids) = self.q[i], self.best[i]
+        start = 0
         if len(have) < self.k:
             # complete the first few, to have a bar at all
-            head = np.flatnonzero(ids[: 4 * self.k] != self.ids[i])
-            have = np.concatenate([have, _exact(q, c[:, head], wide)])
-            have_ids = np.concatenate([have_ids, ids[head]])
             start = min(4 * self.k, len(ids))
-        else:
-            start = 0
+            head = np.flatnonzero(ids[:start] != self.ids[i])
+            have = np.concatenate([have, _exact(q, f[:, head], wide)])
+            have_ids = np.concatenate([have_ids, ids[head]])
         bar = float(np.partition(have, -self.k)[-self.k]) if len(have) >= self.k else -np.inf
         qf = q.astype(np.float64)
         live = np.arange(start, len(ids))
@@ -122,82 +142,109 @@ class Searcher:
                 live, part = live[ok], part[ok]
             if not len(live):
                 break
-            block = f[lo:hi] if len(live) == f.shape[1] else f[lo:hi, start:] if len(live) == f.shape[1] - start else f[lo:hi, live]
+            block = f[lo:hi, start:] if len(live) == f.shape[1] - start else f[lo:hi, live]
             part = part + qf[lo:hi] @ block
         live = live[(part + slack * np.abs(part) + 1 >= bar) & (ids[live] != self.ids[i])] if len(live) else live
         if len(live):
-            have = np.concatenate([have, _exact(q, c[:, live], wide)])
+            have = np.concatenate([have, _exact(q, f[:, live], wide)])
             have_ids = np.concatenate([have_ids, ids[live]])
         keep = np.lexsort((have_ids, -(have.astype(np.float64) if wide else have)))[: self.k]
         self.best[i] = have[keep], have_ids[keep]
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    """Blocks of query rows (id, vector), each bounded in rows and bytes."""
-    block, size = [], 0
-    for r in queries.toLocalIterator():
-        if block and (len(block) >= QUERY_BLOCK or size + 8 * len(r.v) > QUERY_BYTES):
-            yield block
-            block, size = [], 0
-        block.append((r.id, list(r.v)))
-        size += 8 * len(r.v)
-    if block:
-        yield block
+def _query_files(asked: DataFrame) -> list[tuple[str, int, int]]:
+    """(URI, length of the vectors, queries) of files that hold the quantised queries: the smallest vector of each id."""
+    usable = asked.filter("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    path = scratch(asked.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def write(d: int) -> pa.RecordBatch:
+            ids, vecs = (np.concatenate(x) for x in zip(*held.pop(d)))
+            uri = f"{path}/{uuid.uuid4().hex}.bin"
+            with files.writer(uri) as out:
+                out.write(ids.astype("<i8"))
+                out.write(vecs.astype("<i8"))
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([d]), pa.array([len(ids)])], ["uri", "d", "n"])
+
+        for b in batches:
+            own = np.asarray(b.column("id").cast(pa.int64()))
+            at, vecs = quantised(b.column("v"))
+            for d in vecs:
+                step = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * d)))
+                for i in range(0, len(at[d]), step):
+                    more = own[at[d][i : i + step]], vecs[d][i : i + step]
+                    if d in held and sum(len(x) for x, _ in held[d]) + len(more[0]) > step:
+                        yield write(d)
+                    held.setdefault(d, []).append(more)
+        for d in list(held):
+            yield write(d)
+
+    # a row a file; a file of an attempt that failed is named by none
+    names = saved(usable.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(work, "uri string, d bigint, n bigint"))
+    return sorted(tuple(r) for r in names.collect())
 
 
 def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query."""
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
-    asked = table.filter(is_query).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    usable = asked.filter("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    one_each = usable.groupBy("id").agg(F.min("v").alias("v"))
-    done: list[DataFrame] = []
-    parts: list[DataFrame] = []
-    for block in _query_blocks(one_each):
-        parts.append(rows.mapInArrow(_task(table.sparkSession.sparkContext.broadcast(block), k), "query_id bigint, vec_id bigint, score bigint"))
-        if len(parts) == BLOCKS_AT_ONCE:
-            done.append(saved(_merged(reduce(DataFrame.unionByName, parts), k)))
-            parts = []
-    if parts:
-        done.append(_merged(reduce(DataFrame.unionByName, parts), k))
-    if not done:
+    whole = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asked"))
+    queries = _query_files(whole.filter("asked").select("id", "v"))
+    if not queries:
         return table.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    return reduce(DataFrame.unionByName, done)
-
-
-def _merged(parts: DataFrame, k: int) -> DataFrame:
-    """The k best of the tasks' lists of each query."""
+    parts = whole.select("id", "v").filter("id is not null").mapInArrow(_task(queries, k), "query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _task(sent, k: int):
+def _task(queries: list[tuple[str, int, int]], k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size: dict[int, Searcher] = {}
-        block = sent.value
-        ids = np.array([i for i, _ in block], np.int64)
-        at, vecs = quantised(pa.array([v for _, v in block], pa.list_(pa.float64())))
-        for d in vecs:
-            by_size[d] = Searcher(ids[at[d]], vecs[d], k)
+        keeps = sum(n for *_, n in queries) <= KEPT_QUERIES
+        best: dict[str, tuple[np.ndarray, list]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        lengths = {d for _, d, _ in queries}
+
+        def walk(d: int) -> Iterator[pa.RecordBatch]:
+            ids, vecs = (np.concatenate(x) for x in zip(*held.pop(d)))
+            chunk = Chunk.of(ids, vecs)
+            del ids, vecs
+            for uri, size, n in queries:
+                if size != d:
+                    continue
+                with files.reader(uri) as f:
+                    own = np.frombuffer(f.read_at(8 * n, 0), "<i8")
+                    s = Searcher(own, np.frombuffer(f.read_at(8 * n * d, 8 * n), "<i8").reshape(n, d), k, best.get(uri, (None, None))[1])
+                s.feed(chunk)
+                if keeps:
+                    best[uri] = own, s.best
+                else:
+                    yield from _found(own, s.best)
+
         for b in batches:
-            own = np.asarray(b.column("id").cast(pa.int64()))
+            own = np.asarray(b.column("id"))
             at, vecs = quantised(b.column("v"))
-            for d in vecs:
-                if d in by_size:
-                    step = max(1, CHUNK_COMPONENTS // d)
-                    for i in range(0, len(at[d]), step):
-                        by_size[d].feed(own[at[d][i : i + step]], vecs[d][i : i + step])
-        for s in by_size.values():
-            n = np.array([len(x) for x, _ in s.best])
-            if n.sum():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(s.ids, n)), pa.array(np.concatenate([y for _, y in s.best])), pa.array(np.concatenate([x for x, _ in s.best]))],
-                    ["query_id", "vec_id", "score"],
-                )
+            for d in lengths & vecs.keys():
+                step = max(1, CHUNK_COMPONENTS // d)
+                for i in range(0, len(at[d]), step):
+                    held.setdefault(d, []).append((own[at[d][i : i + step]], vecs[d][i : i + step]))
+                    if sum(len(x) for x, _ in held[d]) >= step:
+                        yield from walk(d)
+        for d in list(held):
+            yield from walk(d)
+        for own, found in best.values():
+            yield from _found(own, found)
 
     return work
 
 
+def _found(ids: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    n = np.array([len(x) for x, _ in best])
+    if n.sum():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([y for _, y in best])), pa.array(np.concatenate([x for x, _ in best]))], ["query_id", "vec_id", "score"]
+        )
+
+
 def brute_force(rows: list[tuple[int, list[float]]], query_ids: set[int], k: int) -> list[tuple[int, int, int, int]]:
     """The same by full comparison in plain Python integers; for tests."""
     import math

@@ -182,7 +182,9 @@ def test_top_k_equals_brute_force(spark, seed):
     assert got == want
 
 
-def test_top_k_small_blocks_chunks_and_large_values(spark, monkeypatch):
+@pytest.mark.parametrize("kept", [0, 10**6])
+def test_top_k_small_blocks_chunks_and_large_values(spark, monkeypatch, kept):
+    monkeypatch.setattr(topk, "KEPT_QUERIES", kept)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
     monkeypatch.setattr(topk, "CHUNK_COMPONENTS", 16)
     rows = [(i * 50, [float(i % 5), -float(i % 7), 2.0**31 * (i % 3)], 0, "s") for i in range(20)]
@@ -198,11 +200,22 @@ def test_top_k_small_blocks_chunks_and_large_values(spark, monkeypatch):
     assert topk.search(vectors(spark, [(0, [1.0], 0, "s")]), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_scans_the_table_once(spark, monkeypatch):
+    """One scan for the candidates, however many files the queries fill."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    found = topk.search(table, F.col("vec_id") % 20 == 0, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("MapInArrow") == 1 and "Cartesian" not in plan
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    assert sorted(map(tuple, found.collect())) == topk.brute_force(rows, {i for i, _ in rows if i % 20 == 0}, 3)
+
+
 def test_top_k_drops_candidates_early():
     rng = np.random.default_rng(3)
     vecs = (rng.normal(size=(3000, 64)) * np.geomspace(1, 0.05, 64) * 1024).astype(np.int64)
     s = topk.Searcher(np.array([0]), vecs[:1], 10)
-    s.feed(np.arange(3000), vecs)
+    s.feed(topk.Chunk.of(np.arange(3000), vecs))
     scores = vecs @ vecs[0]
     order = np.lexsort((np.arange(3000), -scores))
     assert s.best[0][1].tolist() == [i for i in order.tolist() if i != 0][:10]
