@@ -327,34 +327,95 @@ def test_every_component_has_a_survivor(spark, monkeypatch):
 # --- 4 licence scan -------------------------------------------------------------------
 
 
+#: Lines as they stand in projects, none of them a template: (line, family or None).
+LICENCE_LINES = [
+    ("Copyright 2019 The Authors. Licensed under the Apache License, Version 2.0 (the \"License\");", "apache-2.0"),
+    ("you may not use this file except in compliance with the License. You may obtain a copy", "apache-2.0"),
+    ("distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS", "apache-2.0"),
+    ("(c) 2020 Foo Inc. All rights reserved.", "proprietary"),
+    ("Copyright (c) 1998-2004 by its makers, all rights reserved worldwide", "proprietary"),
+    ("Distributed under the MIT License. See LICENSE for more information.", "mit"),
+    ("This project is licensed under the MIT License - see the LICENSE.md file for details", "mit"),
+    ("# Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+    ("of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights", "mit"),
+    ("Redistribution and use in source and binary forms, with or without", "bsd"),
+    ("2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions", "bsd"),
+    ("This module is free and is published under the BSD license, like the others.", "bsd"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("* You should have received a copy of the GNU General Public License along with Foo.", "gpl"),
+    ("Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by", "gpl"),
+    ("Bar is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE, Version 3, 19 November 2007", "agpl"),
+    ("The server is licensed under the GNU Affero General Public License v3.", "agpl"),
+    ("This file is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
+    ("made available under the Eclipse Public License v1.0 which accompanies this distribution", "epl"),
+    ("Text and images are available under CC BY-SA 3.0 unless noted.", "cc-by-sa"),
+    ("Figures licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"),
+    ("Photo by the author, licensed under CC BY-ND 2.0", "cc-by-nd"),
+    ("The data are licensed under CC BY-NC-ND 4.0, see below", "cc-by-nc-nd"),
+    ("This article is licensed under a Creative Commons Attribution 4.0 International License, which permits use, sharing, adaptation", "cc-by"),
+    ("Code by the team. This work has been dedicated to the public domain in 2011.", "cc0"),
+    ("We respect all the human rights that were reserved to citizens under the treaty.", None),
+    ("All passengers' seats are reserved; rights of way are kept by all.", None),
+    ("This work has been dedicated to the memory of the public servants of our domain, and no licence is needed.", None),
+    ("Everyone is permitted to copy and distribute verbatim copies of this license document", None),
+    ("This software is provided 'as-is', without any express or implied warranty.", None),
+    ("Licensed under the EUPL, Version 1.2 or later.", None),
+    ("The permission of the author is not needed to sell a copy of a book that was lawfully bought.", None),
+    ("A driving licence is granted, free of charge, to any person who obtains the certificate.", None),
+    ("Public liability is limited by law, whether in contract, tort or otherwise, in most states.", None),
+    ("The copyright holders met the conditions and the names of contributors were read out.", None),
+    ("He held a patent license and reserved all of his rights under it", None),
+    ("The general license fee for public use of the library is four pounds a year.", None),
+    ("The warranty covers fitness for running shoes, but this particular purpose was not implied.", None),
+    ("Redistribution of wealth and use of its source were permitted in both forms of government.", None),
+]
+
+
+def plain_scan(model, line):
+    if not any(stem in line.lower() for stem in licenses.STEMS) or len(licenses.words_of(line)) < 2:
+        return None
+    p = model.probabilities(line)
+    f = model.families[int(p.argmax())]
+    if f == licenses.UNKNOWN or p.max() < licenses.MIN_PROBABILITY:
+        return None
+    alike = max(licenses.similarity(line, t) for t in licenses.TEMPLATES[f])
+    return (f, round(float(p.max()), 6), round(alike, 6)) if alike >= licenses.MIN_SIMILARITY else None
+
+
 def test_licence_scan_equals_plain_model(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    lines = ["Released under the MIT License.", "All rights reserved.", "nothing here", "", "Licensed under CC BY-NC 4.0.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "The license of this work", "RELEASED UNDER THE MIT LICENSE"]
-    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, "\n".join(lines)), (10**6 + 1, None), (10**6 + 2, ""), (None, lines[0])], "doc_id bigint, text string"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lines = [x for x, _ in LICENCE_LINES] + ["", "licence", "RELEASED UNDER THE MIT LICENSE", *(t for ts in licenses.TEMPLATES.values() for t in ts)]
+    docs = docs.unionByName(spark.createDataFrame([(10**6, "\n".join(lines)), (10**6 + 1, None), (10**6 + 2, ""), (None, lines[0]), (5, lines[0]), (5, lines[0])], "doc_id bigint, text string"))
     model = licenses.fit(docs)
-    want = []
-    for r in docs.collect():
-        for k, line in enumerate(r.text.split("\n") if r.text is not None else []):
-            if not any(v in licenses.features_of(line) for v in model.vocabulary):
-                continue
-            p = model.probabilities(line)
-            f = model.families[int(p.argmax())]
-            have = set(licenses.words_of(line))
-            cover = max((len(have & set(licenses.words_of(t))) / len(set(licenses.words_of(t))) for t in licenses.TEMPLATES.get(f, [])), default=0)
-            if f != licenses.UNKNOWN and p.max() >= licenses.MIN_PROBABILITY and cover >= licenses.MIN_COVER:
-                want.append((r.doc_id, k, f, round(float(p.max()), 6)))
-    got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 6)) for r in licenses.scan(docs, model).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    mine = {r.paragraph: r.family for r in licenses.scan(docs, model).filter("doc_id = 1000000").collect()}
-    assert mine == {0: "mit", 1: "proprietary", 4: "cc-by-nc", 5: "gpl", 7: "mit"}
-    plan = licenses.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
+    want = [(r.doc_id, k, *x) for r in docs.collect() for k, line in enumerate(r.text.split("\n") if r.text is not None else []) if (x := plain_scan(model, line))]
+    found = licenses.scan(docs.withColumns({"paragraph": F.lit("clash"), "family": F.lit("clash")}), model)
+    got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 6), round(r.similarity, 6)) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+    # every template is told as its own family
+    first = len(LICENCE_LINES) + 3
+    mine = {k: f for d, k, f, *_ in got if d == 10**6}
+    assert [mine.get(first + i) for i in range(len(lines) - first)] == [f for f, ts in licenses.TEMPLATES.items() for _ in ts]
 
 
-def test_licence_model_on_held_out_lines():
-    model = licenses.train(["The and attion to thanedble the, anea.", "is of the to and in was for the"])
-    for line, family in (("licensed under Apache License, Version 2.0", "apache-2.0"), ("Released under MIT License", "mit"), ("the the is of and a to", "unknown"), ("rights", "unknown")):
-        assert model.families[int(model.probabilities(line).argmax())] == family
+def test_licences_on_lines_that_are_no_templates(spark):
+    model = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = [(want, (plain_scan(model, line) or (None,))[0]) for line, want in LICENCE_LINES]
+    told = [(w, g) for w, g in got if g]
+    assert all(w == g for w, g in told)  # precision 1
+    assert sum(w == g for w, g in told) >= 0.8 * sum(w is not None for w, _ in got)
+
+
+def test_licence_scan_awkward(spark):
+    none = licenses.fit(empty(spark))
+    assert licenses.scan(empty(spark), none).count() == 0
+    docs = docs_of(spark, AWKWARD + ["permitted " * 3000, ("word " * 3000 + "All rights reserved. ") * 3, "x" * 20000 + " released under the MIT License."])
+    model = licenses.fit(docs)
+    got = licenses.scan(docs, model)
+    assert {(r.doc_id, r.family) for r in got.collect()} == {(len(AWKWARD) + 1, "proprietary"), (len(AWKWARD) + 2, "mit")}
+    assert {r.stretch for r in got.collect()} > {1} and all(r.similarity >= 0.8 for r in got.collect())
 
 
 # --- 5 mixing ---------------------------------------------------------------------------
