@@ -53,10 +53,10 @@ from . import url_filter
 ARTICLE, MAIN, LOOSE, PLAIN, FORM, CHROME = "a", "m", "l", "p", "f", "c"
 #: A neighbour that shares this part of the longer page's characters, or more, is a copy.
 COPY_SHARE = 0.9
-#: Stretches of the order: about this many pages each, and at most so many for each partition of a shuffle.
-STRETCH_PAGES, STRETCHES = 500, 2
-#: Sampled addresses for each stretch; what comes to the driver is bounded by these parameters.
-SAMPLE_PER_STRETCH, BOUND_CHARS = 20, 256
+#: Stretches of the order: about this many pages each while there are at most so many, then longer ones.
+STRETCH_PAGES, STRETCHES = 500, 50_000
+#: Sampled addresses for each stretch, and what is taken of each; so what comes to the driver is bounded by parameters.
+SAMPLE_PER_STRETCH, BOUND_CHARS = 10, 256
 
 #: Elements that start and end a line; that never close; whose content is no text; that are template.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template tfoot th thead title tr ul".split())
@@ -321,9 +321,8 @@ def _keys(b: pa.RecordBatch) -> Iterator[tuple]:
 
 def _bounds(keys: DataFrame) -> list[tuple]:
     """Keys that cut the order into stretches, from a bounded sample: any keys will do, since the cuts don't change the result."""
-    spark, rows = keys.sparkSession, keys.count()
-    most = STRETCHES * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    n = max(1, min(most, rows // STRETCH_PAGES))
+    rows = keys.count()
+    n = max(1, min(STRETCHES, rows // STRETCH_PAGES))
     share = min(1.0, SAMPLE_PER_STRETCH * n / max(1, rows))
     some = keys if share == 1 else keys.filter(F.xxhash64(*_KEY) / F.lit(2.0**64) + 0.5 < share)
     cut = some.select(F.substring("host", 1, BOUND_CHARS), F.substring("path", 1, BOUND_CHARS), "id", "h")
