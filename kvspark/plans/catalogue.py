@@ -10,22 +10,27 @@ Keys are shown as text.
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..database import Database
 from ..functions import bounds as B, values as V
 from ..operators import access, resolve
 from ..sources import runs
+from ..table import Table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Keys that the lookups ask for: present, deleted and absent ones, one of them twice.
 ASKED = ["7", "none", "42", "7", "12", "-1", "99", "3"]
-LAYER_EVENTS = 1000
+LAYER_EVENTS, QUARTERS = 1000, 4
 
 
 def query(sql: str | None = None):
@@ -76,6 +81,8 @@ _NEWEST = "newest AS (SELECT key, e.op AS op, e.value AS value FROM (SELECT key,
 _STATE = f"{_LOG}, {_NEWEST}, state AS (SELECT key, value FROM newest WHERE op = 'P')"
 _CUSTOMERS = "state AS (SELECT c_name AS key, c_acctbal AS value FROM customer)"
 _ASKED = "asked(pos, key) AS (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(ASKED)) + ")"
+_QUARTERED = f"{_LOG}, layered AS (SELECT *, event_id * {QUARTERS} // (SELECT max(event_id) + 1 FROM events) AS layer FROM log)"
+_TOUCHED = f"{_STATE} SELECT * FROM state WHERE key NOT IN ('7', '12') UNION ALL VALUES ('7', 1.5::DOUBLE), ('new', 2.5::DOUBLE)"
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +268,14 @@ def txn_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_STATE} SELECT * FROM state")
 def txn_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(resolve.state(resolve.overlay(event_log(spark, sf_dir), _own(spark).limit(0)), "over", "at"))
+    t = engine(spark, sf_dir)
+    with t.transaction() as x:
+        x.set_value(b"7", 1.5)
+        x.delete(b"12")
+        x.rollback()
+    with t.transaction() as x:  # left without a commit
+        x.set_value(b"new", 2.5)
+    return floats(t.df())
 
 
 @query("WITH b(key, value, ord) AS (SELECT CAST(user_id % 10 AS VARCHAR), value, event_id FROM events) SELECT key, arg_max({'v': value}, ord).v AS value FROM b GROUP BY key")
@@ -289,9 +303,11 @@ def uncommitted_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(resolve.uncommitted(with_markers(spark, sf_dir), "cv", F.col("op") == "C")).drop("ord")
 
 
-@query(f"WITH {_MARKED} SELECT key, op, value, event_id AS cv FROM log")
+@query(f"WITH {_QUARTERED} SELECT key, arg_max(op, event_id) AS op, arg_max({{'v': value}}, event_id).v AS value, count(*) > 0 AS committed FROM layered GROUP BY key, layer")
 def wal_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(with_markers(spark, sf_dir)).drop("ord")
+    """Every mutation in the log: of each layer the last one of a key, since a batch keeps one."""
+    t = engine(spark, sf_dir, QUARTERS)
+    return shown(t.raw_log_df().select("key", "op", F.col("value.f").alias("value"), "committed"))
 
 
 @query("SELECT user_id, count(*) AS n, sum(CASE WHEN prev IS NOT NULL AND event_id <= prev THEN 1 ELSE 0 END) = 0 AS rising FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) GROUP BY user_id")
@@ -308,70 +324,125 @@ def sequence_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder for a query's run: in the session's shared folder if it has one."""
+    """A folder for a query's table: in the session's shared folder; a temporary one in local mode. Removed when Python ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base}/kvspark-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp(prefix="kvspark-")
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    folder = f"{re.sub('^file:/+', '/', base)}/kvspark-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="kvspark-")
+    os.makedirs(folder, exist_ok=True)
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The typed log in QUARTERS layers by event_id, oldest first."""
+    log = _typed_log(spark, sf_dir)
+    end = log.agg(F.max("cv")).first()[0] + 1
+    part = F.floor(F.col("cv") * QUARTERS / end)
+    return [log.filter(part == k).select("key", "op", "value", "cv") for k in range(QUARTERS)]
+
+
+def engine(spark: SparkSession, sf_dir: str, layers: int = 1) -> Table:
+    """A table of the engine with the event log in it: in one bulk batch, or in QUARTERS, a run each."""
+    t = Database(spark, _folder(spark)).table("events", max_runs=100)
+    for part in _parts(spark, sf_dir) if layers > 1 else [_typed_log(spark, sf_dir).select("key", "op", "value", "cv")]:
+        t.put_df(part, order="cv")
+    return t
+
+
+def _touched(t: Table) -> Table:
+    for k, v in ((b"7", 9.5), (b"12", None), (b"7", 1.5), (b"new", 2.5)):
+        t.write([(k, v)])
+    return t
+
+
+def floats(df: DataFrame) -> DataFrame:
+    return shown(df.select("key", F.col("value.f").alias("value")))
+
+
 def _typed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     return log.withColumn("value", F.when(F.col("op") == V.PUT, V.typed("float", F.col("value"))))
 
 
-@query(f"WITH {_STATE} SELECT * FROM state")
+@query(f"WITH {_TOUCHED}")
 def flush_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The older half is flushed as a sorted run and read back under the newer half."""
-    log = _typed_log(spark, sf_dir).withColumn("half", F.col("cv") % 20000 < 5000)
-    folder = _folder(spark)
-    run = runs.write_run(log.filter("half"), folder, unique=False)
-    both = runs.read_runs(spark, folder, [run]).unionByName(log.filter("not half").drop("half"))
-    return shown(resolve.state(both).select("key", F.col("value.f").alias("value")))
+    """Small writes over a bulk run, flushed into a run of their own."""
+    t = _touched(engine(spark, sf_dir))
+    t.flush()
+    return floats(t.df())
+
+
+@query(f"WITH {_TOUCHED}")
+def engine_flush_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after closing and opening the table."""
+    t = _touched(engine(spark, sf_dir))
+    t.flush()
+    t.close()
+    return floats(Table(spark, t.folder).df())
+
+
+@query(f"WITH {_TOUCHED}")
+def engine_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the log alone, beside a run that no commit names."""
+    t = _touched(engine(spark, sf_dir))
+    ghost = spark.createDataFrame([(bytearray(b"ghost"), "P", None, 10**9, 0)], V.LOG)
+    runs.write_run(ghost, t.folder, unique=True)
+    t.close()
+    return floats(Table(spark, t.folder).df())
+
+
+@query(f"WITH {_TOUCHED}")
+def engine_auto_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of a few bytes: every write is flushed, and runs beyond two are merged."""
+    t = engine(spark, sf_dir)
+    t.set_budget(1)
+    t.max_runs = 2
+    return floats(_touched(t).df())
 
 
 @query(f"WITH {_STATE} SELECT * FROM state")
 def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All layers merged into one run without deletions; reading it needs no merge."""
-    folder = _folder(spark)
-    merged = resolve.live(resolve.newest(_typed_log(spark, sf_dir))).select("key", F.lit(V.PUT).alias("op"), "value", F.lit(1).alias("cv"), F.lit(0).alias("ord"))
-    run = runs.write_run(merged, folder, unique=True)
-    return shown(resolve.live(runs.read_runs(spark, folder, [run])).select("key", F.col("value.f").alias("value")))
+    """Four runs merged into one without deletions; reading it needs no merge."""
+    t = engine(spark, sf_dir, QUARTERS)
+    t.compact()
+    return floats(t.df())
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
-def compact_all_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir)
-    gone = log.select("key").distinct().select("key", F.lit(V.DELETE).alias("op"), F.lit(None).cast("double").alias("value"))
-    return resolve.state(resolve.layered(resolve.newest(log), gone)).agg(F.count("*").alias("n"))
+@query(f"WITH {_STATE} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS tombstones, min(key) AS least, max(key) AS most FROM state")
+def engine_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of the one run that is left."""
+    t = engine(spark, sf_dir, QUARTERS)
+    t.compact()
+    return t.run_stats().select("rows", "tombstones", F.col("least").cast("string").alias("least"), F.col("most").cast("string").alias("most"))
 
 
-_LAYERED = f"{_LOG}, layered AS (SELECT *, event_id // {LAYER_EVENTS} AS layer FROM log)"
+@query("SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS runs")
+def compact_all_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = engine(spark, sf_dir)
+    t.put_df(t.df().select("key", F.lit(None).cast("binary").alias("value"), F.lit(V.DELETE).alias("op")))
+    t.compact()
+    return t.df().agg(F.count("*").alias("n")).withColumn("runs", F.lit(len(t.runs)).cast("bigint"))
 
 
-@query(f"WITH {_LAYERED} SELECT CAST(layer AS BIGINT) AS layer, min(key) AS least, max(key) AS most, count(*) AS rows FROM layered GROUP BY layer")
+@query(f"WITH {_QUARTERED} SELECT CAST(layer AS INTEGER) AS layer, min(key) AS least, max(key) AS most, count(DISTINCT key) AS rows FROM layered GROUP BY layer")
 def run_key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = runs.key_ranges(_layers(spark, sf_dir), "layer")
+    r = engine(spark, sf_dir, QUARTERS).run_stats()
     return r.select("layer", F.col("least").cast("string").alias("least"), F.col("most").cast("string").alias("most"), "rows")
 
 
-@query(f"WITH {_LAYERED}, r AS (SELECT CAST(layer AS BIGINT) AS layer, min(key) AS least, max(key) AS most FROM layered GROUP BY layer) SELECT layer, most >= '98' AND least < '985' AS overlaps FROM r")
+@query(f"WITH {_QUARTERED}, r AS (SELECT CAST(layer AS INTEGER) AS layer, min(key) AS least, max(key) AS most FROM layered GROUP BY layer) SELECT layer, most >= '98' AND least < '985' AS overlaps FROM r")
 def runs_overlapping_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = runs.key_ranges(_layers(spark, sf_dir), "layer")
-    return r.select("layer", ((F.col("most") >= F.lit(b"98")) & (F.col("least") < F.lit(b"985"))).alias("overlaps"))
+    t = engine(spark, sf_dir, QUARTERS)
+    low, high = B.Bound.included(b"98"), B.Bound.excluded(b"985")
+    return spark.createDataFrame([(k, B.overlaps(low, high, r.least, r.most)) for k, r in enumerate(t.runs)], "layer int, overlaps boolean")
 
 
-@query(f"WITH {_LOG} SELECT count(DISTINCT key) AS keys, count(DISTINCT key) AS found FROM log")
+@query(f"WITH {_LOG}, {_ASKED} SELECT CAST(pos AS INTEGER) AS pos, key, EXISTS (SELECT 1 FROM log l WHERE l.key = a.key) AS found FROM asked a")
 def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored key, those of deletions included, is found in the run that was written with a bloom filter."""
-    log, folder = _typed_log(spark, sf_dir), _folder(spark)
-    run = runs.write_run(log, folder, unique=False)
-    stored = runs.read_runs(spark, folder, [run]).select("key").distinct().withColumn("there", F.lit(1))
-    return log.select("key").distinct().join(stored, "key", "left").agg(F.count("*").alias("keys"), F.count("there").alias("found"))
+    """Membership of keys in the runs, those of deletions included: looked up by range, statistics and bloom filter."""
+    t = engine(spark, sf_dir, QUARTERS)
+    return spark.createDataFrame([(i, k, t.might_contain(k.encode())) for i, k in enumerate(ASKED)], "pos int, key string, found boolean")
 
 
 @query(f"WITH {_LOG} SELECT key, CAST(sum(octet_length(encode(key)) + CASE op WHEN 'P' THEN 8 ELSE 0 END) AS BIGINT) AS bytes FROM log GROUP BY key")
@@ -413,9 +484,7 @@ def byte_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES ('orders'), ('users 2.x')) t(table_name)")
 def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..database import Database
-
-    with tempfile.TemporaryDirectory() as folder, Database(spark, folder) as db:
+    with Database(spark, _folder(spark)) as db:
         for name in ("users 2.x", "gone", "orders"):
             db.create_table(name)
         db.delete_table("gone")

@@ -6,13 +6,15 @@ import os
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..errors import CorruptDataError
+from ..errors import CorruptDataError, KVIOError
 from ..functions.values import DELETE, LOG
-from .manifest import Run
+from .manifest import Mutation, Run, sync_folder
 
 OPTIONS = {
     "parquet.bloom.filter.enabled#key": "true",
@@ -56,6 +58,47 @@ def write_run(log: DataFrame, folder: str, unique: bool, partitions: int | None
     return Run(name, got["rows"], got["tombstones"], *(None if got[k] is None else bytes(got[k]) for k in ("least", "most")), unique)
 
 
+#: The schema of a run for Arrow.
+_ARROW = pa.schema(
+    [
+        pa.field("key", pa.binary(), False),
+        pa.field("op", pa.string(), False),
+        pa.field("value", pa.struct([("kind", pa.string()), ("i", pa.int32()), ("f", pa.float64()), ("t", pa.string()), ("b", pa.bool_()), ("d", pa.binary())])),
+        pa.field("cv", pa.int64(), False),
+        pa.field("ord", pa.int32(), False),
+    ]
+)
+
+
+def write_small(entries: list[tuple[int, Mutation]], folder: str) -> Run:
+    """A run of a few mutations, the newest of each key, written by the driver without a job; synced when it returns.
+
+    The file is like those of ``write_run``, but has no bloom filter: it is small, and its keys are held while it is looked up.
+    """
+    newest = {m.key: (cv, m) for cv, m in entries}
+    keys = sorted(newest)
+    rows = [newest[k] for k in keys]
+    fields = [f.name for f in _ARROW.field("value").type]
+    # plain columns, since rows as dictionaries are slow to convert
+    flat = [m.value.row() if m.value else (None,) * len(fields) for _, m in rows]
+    children = [pa.array(c, t.type) for c, t in zip(zip(*flat), _ARROW.field("value").type)]
+    value = pa.StructArray.from_arrays(children, fields, mask=pa.array([m.value is None for _, m in rows]))
+    table = pa.table([pa.array(keys, pa.binary()), pa.array([m.op for _, m in rows]), value, pa.array([cv for cv, _ in rows], pa.int64()), pa.array([m.ord for _, m in rows], pa.int32())], schema=_ARROW)
+    name = f"runs/{uuid.uuid4().hex}"
+    path = os.path.join(folder, name)
+    try:
+        os.makedirs(path)
+        with open(os.path.join(path, "part-00000.parquet"), "wb") as f:
+            pq.write_table(table, f, compression="zstd", write_page_checksum=True)
+            f.flush()
+            os.fsync(f.fileno())
+        for parent in (path, os.path.dirname(path), folder):
+            sync_folder(parent)
+    except OSError as e:
+        raise KVIOError(f"a flush failed: {e}") from e
+    return Run(name, len(rows), sum(m.value is None for _, m in rows), keys[0], keys[-1], True)
+
+
 def read_runs(spark: SparkSession, folder: str, runs: list[Run]) -> DataFrame:
     """All rows of some runs in one scan; page checksums are verified."""
     paths = [os.path.join(folder, r.path) for r in runs if r.rows]
@@ -73,8 +116,3 @@ def checked(action):
         if any(sign in text for sign in ("CRC", "checksum", "CANNOT_READ_FILE", "not a Parquet file", "FAILED_READ_FILE")):
             raise CorruptDataError(text[:500]) from e
         raise
-
-
-def key_ranges(log: DataFrame, run: str) -> DataFrame:
-    """Smallest and largest key of each run of a log."""
-    return log.groupBy(run).agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("rows"))

@@ -17,10 +17,12 @@ from .operators import access, resolve
 from .sources.blocks import ASK_SPARK, BlockCache
 from .sources.lock import TableLock
 from .sources.manifest import Commit, Commits, Mutation, Run, State
-from .sources.runs import checked, read_runs, write_run
+from .sources.runs import checked, read_runs, write_run, write_small
 
-#: Bytes of buffered small mutations that trigger a flush, and runs beyond which they are merged.
+#: Bytes of buffered small mutations that trigger a flush, and runs beyond which some are merged.
 BUFFER_BUDGET, MAX_RUNS = 4 << 20, 8
+#: A merge of the newest runs takes in the one before them while that is at most so many times as large.
+TIER = 4
 
 
 def _key(k: Any) -> bytes:
@@ -118,8 +120,11 @@ class Table:
         # a flushed entry lies in its commit and in its run
         return log.dropDuplicates(["key", "op", "cv", "ord", "committed"])
 
-    def df(self, version: int | None = None, low: Bound = Bound(), high: Bound = Bound()) -> DataFrame:
-        """key, value of every visible key within the bounds; unordered, lazy.
+    def df(self, version: int | None = None, low: Bound = Bound(), high: Bound = Bound(), keys: DataFrame | None = None) -> DataFrame:
+        """key, value of every visible key within the bounds, and of ``keys`` (key) if given; unordered, lazy.
+
+        The keys cut the log down before anything is merged: a predicate on the key may
+        go below the resolution.
 
         Runs without repeated keys whose key range meets no other run's and no buffered
         key are read as they are; only the others are merged, by one shuffle.
@@ -130,12 +135,17 @@ class Table:
         alone = [r for r in runs if r.unique and not any(_meet(r, o) for o in runs if o is not r) and not any(r.least <= m.key <= r.most for _, m in entries)]
         mixed = [r for r in runs if r not in alone]
         parts = []
+
+        def cut(log: DataFrame) -> DataFrame:
+            log = log.filter(within(low, high))
+            return log if keys is None else log.join(keys, "key", "left_semi")
+
         if alone:
-            parts.append(resolve.live(read_runs(self.spark, self.folder, alone).filter(within(low, high))))
+            parts.append(resolve.live(cut(read_runs(self.spark, self.folder, alone))))
         if mixed or entries or not alone:
             log = read_runs(self.spark, self.folder, mixed)
-            log = log.unionByName(self._pending(entries)) if entries else log
-            parts.append(resolve.state(log.filter(within(low, high))) if mixed or entries else resolve.live(log))
+            log = cut(log.unionByName(self._pending(entries)) if entries else log)
+            parts.append(resolve.state(log) if mixed or entries else resolve.live(log))
         return reduce(DataFrame.unionByName, parts)
 
     # --- reads --------------------------------------------------------------
@@ -173,11 +183,11 @@ class Table:
         if len(keys) <= access.LITERAL_KEYS:
             return checked(state.filter(F.col("key").isin([bytearray(k) for k in keys])).collect)
         asked = self.spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
-        return checked(state.join(asked, "key", "left_semi").collect)
+        return checked(self.df(low=low, high=high, keys=asked).collect)
 
     def multi_get_df(self, requests: DataFrame) -> DataFrame:
         """``requests`` (pos, key) with value (a struct), any number of them."""
-        return access.multi_get_df(self.df(), requests)
+        return access.multi_get_df(self.df(keys=requests.select("key").distinct()), requests)
 
     def _bytes_view(self, state: DataFrame) -> DataFrame:
         return state.select("key", V.byte_view().alias("value"))
@@ -230,9 +240,9 @@ class Table:
         return bool(runs) and bool(checked(lambda: found.take(1)))
 
     def run_stats(self) -> DataFrame:
-        """path, rows, tombstones, least, most of each run, oldest first."""
-        rows = [(i, r.path, r.rows, r.tombstones, r.least and bytearray(r.least), r.most and bytearray(r.most)) for i, r in enumerate(self._state.runs)]
-        return self.spark.createDataFrame(rows, "layer int, path string, rows bigint, tombstones bigint, least binary, most binary")
+        """path, rows, tombstones, least, most, blocks (null where lookups are left to Spark) of each run, oldest first."""
+        rows = [(i, r.path, r.rows, r.tombstones, *(None if k is None else bytearray(k) for k in (r.least, r.most)), self._blocks.count(r)) for i, r in enumerate(self._state.runs)]
+        return self.spark.createDataFrame(rows, "layer int, path string, rows bigint, tombstones bigint, least binary, most binary, blocks int")
 
     def cached(self) -> DataFrame:
         """The current version's state, kept in the executors' memory until ``unpersist`` is called on it."""
@@ -285,7 +295,7 @@ class Table:
         ``op`` 'D' deletes. Of repeated keys the row with the greatest ``order``
         holds; without an order, the greatest (op, value).
         """
-        if tag is not None and tag in self._state.tags:
+        if tag is not None and self._state.done(tag):
             return
         self.flush()  # so the buffer is always newer than every run
         kinds = {"int": "integer", "double": "float", "string": "text", "boolean": "boolean", "binary": "bytes"}
@@ -315,43 +325,59 @@ class Table:
         """Fold the buffer into a run; nothing to do if it is empty."""
         if not self._state.entries:
             return
-        run = write_run(self._pending(self._state.entries), self.folder, unique=True, partitions=1, merge=resolve.newest_versions)
-        self._commit(Commit(self.version + 1, runs=(*self._state.runs, run), snapshot=True))
+        self._replace((*self._state.runs, write_small(self._state.entries, self.folder)), ())
         self._maybe_compact()
 
+    def _replace(self, runs: tuple[Run, ...], entries: tuple[Mutation, ...]) -> None:
+        """Commit a snapshot: these runs, and entries newer than all of them."""
+        self._commit(Commit(self.version + 1, runs=runs, entries=entries, snapshot=True, tags=tuple(sorted(self._state.tags.items()))))
+
     def _maybe_compact(self) -> None:
-        if len(self._state.runs) > self.max_runs:
-            self.compact()
+        """Beyond ``max_runs``, merge the newest runs: at least two, and older ones as far as they aren't much larger."""
+        runs = self._state.runs
+        if len(runs) <= self.max_runs:
+            return
+        first, rows = len(runs) - 1, runs[-1].rows
+        while first and (first == len(runs) - 1 or runs[first - 1].rows <= TIER * rows):
+            first -= 1
+            rows += runs[first].rows
+        self._merge(first)
 
     def compact(self) -> None:
         """Merge all runs into one without deletions, or into none if nothing is left.
 
-        The buffer is newer than every run and stays as it is. Deletions go, since
-        the merge covers every older run. A single run is rewritten only if it holds
-        deletions.
+        The buffer is newer than every run and stays as it is. A single run is rewritten
+        only if it holds deletions.
         """
         runs = self._state.runs
-        if not runs or len(runs) == 1 and not runs[0].tombstones:
-            return
-        def kept(ranges: DataFrame) -> DataFrame:
-            return resolve.newest_versions(ranges).filter(F.col("op") == V.PUT)
+        if runs and (len(runs) > 1 or runs[0].tombstones):
+            self._merge(0)
 
-        log = read_runs(self.spark, self.folder, runs)
-        run = checked(lambda: write_run(log, self.folder, unique=True, merge=kept))
-        entries = tuple(m for _, m in self._state.entries)
+    def _merge(self, first: int) -> None:
+        """Merge the runs from a place on. Deletions go only if no older run is left that they might hide entries of."""
+        runs = self._state.runs
+
+        def merged(ranges: DataFrame) -> DataFrame:
+            rows = resolve.newest_versions(ranges)
+            return rows if first else rows.filter(F.col("op") == V.PUT)
+
+        log = read_runs(self.spark, self.folder, runs[first:])
+        run = checked(lambda: write_run(log, self.folder, unique=True, merge=merged))
         # carried entries get a newer version than the run, as they had; their own order is kept by the buffer
-        latest = {m.key: m for m in entries}
+        latest = {m.key: m for _, m in self._state.entries}
         carried = tuple(Mutation(k, latest[k].value, i) for i, k in enumerate(sorted(latest)))
-        self._commit(Commit(self.version + 1, runs=(run,) if run.rows else (), entries=carried, snapshot=True))
+        self._replace((*runs[:first], run) if run.rows else tuple(runs[:first]), carried)
 
     def vacuum(self) -> list[str]:
-        """Delete run folders that the current version doesn't list; older versions can't be read any more."""
+        """Delete run folders that the current version doesn't list, and the log before its snapshot; older versions can't be read any more."""
         listed = {r.path for r in self._state.runs}
         root = os.path.join(self.folder, "runs")
         gone = [f"runs/{n}" for n in sorted(os.listdir(root)) if f"runs/{n}" not in listed] if os.path.isdir(root) else []
+        # the log first: a version whose runs are gone must not be found
+        dropped = [f"_commits/{n}" for n in self._commits.drop_before(self._state.base)]
         for path in gone:
             shutil.rmtree(os.path.join(self.folder, path), ignore_errors=True)
-        return gone
+        return gone + dropped
 
 
 def _meet(a: Run, b: Run) -> bool:

@@ -234,15 +234,95 @@ def test_damage_is_an_error(spark, db):
         os.unlink(crc)
     with pytest.raises(kv.CorruptDataError):
         t.scan()
-    commit = sorted(glob.glob(os.path.join(t.folder, "_commits", "*.json")))[0]
+    first, last = sorted(glob.glob(os.path.join(t.folder, "_commits", "*.json")))
     db.close()
-    body = json.loads(open(commit).read())
-    body["commit"] = body["commit"].replace('"snapshot": false', '"snapshot": true')
-    open(commit, "w").write(json.dumps(body))
+
+    def damage(commit, a, b):
+        body = json.loads(open(commit).read())
+        body["commit"] = body["commit"].replace(a, b)
+        open(commit, "w").write(json.dumps(body))
+
+    damage(first, '"snapshot": false', '"snapshot": true')
+    t = kv.Database(spark, db.folder).table("t")  # the snapshot stands for it
+    with pytest.raises(kv.CorruptDataError):
+        t.df(version=1)
+    t.close()
+    damage(last, '"snapshot": true', '"snapshot": false')
     with pytest.raises(kv.CorruptDataError):
         kv.Database(spark, db.folder).table("t")
 
 
+def test_opening_reads_from_the_last_snapshot_on(spark, db, monkeypatch):
+    from kvspark.sources.manifest import Commits
+
+    t = db.table("t")
+    for i in range(40):
+        t.put(b"k%d" % (i % 5), b"%d" % i)
+    t.put_df(frame(spark, [(b"bulk", b"1")]), tag="stream#3")
+    t.flush()
+    t.put(b"k0", b"new")
+    t.flush()
+    t.put(b"pending", b"p")
+    want, read = t.scan(), []
+    monkeypatch.setattr(Commits, "read", lambda self, v, plain=Commits.read: read.append(v) or plain(self, v))
+    t = reopened(spark, db).table("t")
+    assert read == [t.version, t.version - 1] and t.scan() == want
+    # a replayed batch of the stream is known though its own commit isn't read
+    v = t.version
+    t.put_df(frame(spark, [(b"bulk", b"2")]), tag="stream#3")
+    t.put_df(frame(spark, [(b"bulk", b"2")]), tag="stream#2")
+    assert t.version == v
+    gone = t.vacuum()
+    assert sum(g.startswith("_commits/") for g in gone) == v - 2 and t.scan() == want
+    with pytest.raises(kv.KVIOError):
+        t.df(version=1)
+    t.close()
+    t = kv.Database(spark, db.folder).table("t")
+    assert t.scan() == want and t.version == v
+    t.close()
+    os.unlink(sorted(glob.glob(os.path.join(t.folder, "_commits", "*.json")))[0])
+    with pytest.raises(kv.CorruptDataError):
+        kv.Database(spark, db.folder).table("t")
+
+
+def test_merges_leave_much_larger_runs_alone(spark, db):
+    t = db.table("t", max_runs=3)
+    t.put_df(frame(spark, [(b"%05d" % i, b"old") for i in range(2000)]))
+    large = t.runs[0].path
+    for i in range(9):
+        t.write([(b"%05d" % i, None), (b"%05d" % (i + 100), b"new")])
+        t.flush()
+        assert len(t.runs) <= 3 and t.runs[0].path == large
+    got = dict(t.scan())
+    # deletions stay as long as there is an older run below them
+    assert len(got) == 1991 and b"00003" not in got and got[b"00103"] == b"new" and t.get(b"00003") is None and t.get(b"00104") == b"new"
+    t.compact()
+    assert len(t.runs) == 1 and t.runs[0].tombstones == 0 and dict(t.scan()) == got
+
+
+def test_a_flush_starts_no_job(spark, db):
+    t = db.table("t")
+    cells = {b"a": 1, b"b": "text", b"c": 2.5, b"d": True, b"e": b"\x00", b"f": ""}
+    t.write([*cells.items(), (b"gone", None)])
+    spark.sparkContext.setJobGroup("flush", "")
+    t.flush()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("flush")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {bytes(r.key): Value.from_row(r.value).data for r in t.df().collect()} == cells
+    assert [(r.rows, r.tombstones, r.blocks) for r in t.run_stats().collect()] == [(7, 1, 1)]
+
+
+def test_bulk_lookups_cut_the_log_down_first(spark, db):
+    t = db.table("t", max_runs=100)
+    for v in (b"1", b"2"):
+        t.put_df(frame(spark, [(b"%04d" % i, v) for i in range(50)]))
+    asked = spark.createDataFrame([(0, bytearray(b"0007")), (1, bytearray(b"none")), (2, bytearray(b"0007"))], "pos int, key binary")
+    found = t.multi_get_df(asked)
+    assert sorted((r.pos, r.value and bytes(r.value.d)) for r in found.collect()) == [(0, b"2"), (1, None), (2, b"2")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Aggregate [key")
+
+
 def test_against_a_model(spark, db):
     """Random operations, with flushes, compactions and reopenings, against a dict."""
     rng, model = random.Random(5), {}
