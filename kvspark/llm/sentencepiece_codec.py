@@ -25,13 +25,14 @@ a null doc_id hashes as one of its own; repeated rows get the same tokens; an
 empty table gives no rows; other columns are ignored; bytes that aren't UTF-8 are
 read as U+FFFD and told by ``lossless`` false; ids outside the vocabulary and null
 ones decode to nothing. A text of any length is encoded whole: beside it and its ids,
-memory grows with the longest stretch without a cut (about 300 bytes a character;
+memory grows with the longest stretch without a cut (about 100 bytes a character;
 words, numbers and scripts with many characters are cut often, a run of one letter isn't).
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -73,6 +74,7 @@ class Vocabulary:
         if any("▁" in p[i:] for p in (pieces[j] for j in normal) for i in [len(p) - len(p.lstrip("▁"))]):
             raise ValueError("a piece reaches over a space")
         ids = {pieces[i]: i for i in normal}
+        self.longest = max(map(len, ids))
         self.char = np.full(0x110001, -1, np.int32)
         for p, i in ids.items():
             if len(p) == 1:
@@ -166,37 +168,39 @@ class Dropout:
 
 def _agenda(v: Vocabulary, sym: np.ndarray, at: int, drop: Dropout | None, out: np.ndarray) -> None:
     """Merge one chunk, which begins at character ``at``, with a heap."""
-    n = len(sym)
-    ids, end = sym.tolist(), list(range(at + 1, at + n + 1))
-    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap: list[tuple[int, int, int, int, int]] = []
+    n, width = len(sym), v.longest.bit_length()
+    # a symbol ends where the next one starts
+    ids, nxt, prv = array("i", sym.astype(np.int32).tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    gone = bytearray(n)
+    #: rank, place, and the lengths of the left part and of both: one number each, which sorts like them
+    heap: list[int] = []
 
     def offer(i: int) -> None:
         j = nxt[i]
-        if i < 0 or j >= n:
+        if j >= n:
             return
         new = v.pairs.get((ids[i], ids[j]))
-        if new is not None and not (drop and drop.skip_one(at + i, end[i], end[j])):
-            heapq.heappush(heap, (new >> _RANK_AT, i, end[i], end[j], new & _ID))
+        if new is not None and not (drop and drop.skip_one(at + i, at + j, at + nxt[j])):
+            heapq.heappush(heap, (((new >> _RANK_AT) << 40 | i) << width | j - i) << width | nxt[j] - i)
 
     for i in range(n - 1):
         offer(i)
-    gone = [False] * n
+    part = (1 << width) - 1
     while heap:
-        _, i, m, e, new = heapq.heappop(heap)
-        j = nxt[i] if not gone[i] else n
-        if gone[i] or j >= n or end[i] != m or end[j] != e:
+        x = heapq.heappop(heap)
+        i = x >> 2 * width & (1 << 40) - 1
+        j = i + (x >> width & part)
+        if gone[i] or nxt[i] != j or j >= n or nxt[j] != i + (x & part):
             continue
-        ids[i], end[i], gone[j] = new, e, True
+        ids[i], gone[j] = v.pairs[ids[i], ids[j]] & _ID, 1
         nxt[i] = nxt[j]
         if nxt[i] < n:
             prv[nxt[i]] = i
         if prv[i] >= 0:
             offer(prv[i])
         offer(i)
-    for i in range(n):
-        if not gone[i]:
-            out[at + i] = ids[i]
+    left = np.flatnonzero(np.frombuffer(gone, np.uint8) == 0)
+    out[at + left] = np.frombuffer(ids, np.int32)[left]
 
 
 def _lockstep(v: Vocabulary, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray, drop: Dropout | None, out: np.ndarray) -> None:
@@ -338,13 +342,13 @@ def encoded(v: Vocabulary, parts: Iterable[vt.Slice | vt.Long], keys: np.ndarray
                 same = np.array([np.array_equal(back[at[i] : at[i + 1]], s.b[s.off[i] : s.off[i + 1]]) for i in range(s.n)])
             yield ids, off, same, s.first
             continue
-        found, begun, same = [], 0, True
+        found, begun, same = array("i"), 0, True
         for b in _long_pieces(v, s.b, SLICE_BYTES):
             ids, off = encode_slice(v, vt.Slice(0, b, np.array([0, len(b)])), own, dropout, seed, begun)
             same = same and np.array_equal(decode_ids(v, ids, off, not begun)[0], b)
             begun += int(((b & 0xC0) != 0x80).sum()) + (not begun)
-            found.append(ids)
-        ids = np.concatenate(found)
+            found.frombytes(ids.tobytes())
+        ids = np.frombuffer(found, np.int32)
         yield ids, np.array([0, len(ids)]), np.array([same]), s.first
 
 
