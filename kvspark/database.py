@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import InvalidTableNameError, KVIOError, TableExistsError, TableNotFoundError
-from .sources.lock import TableLock
+from .errors import InvalidTableNameError, TableExistsError, TableNotFoundError
+from .sources.store import place
 from .table import Table
 
 
@@ -24,17 +23,15 @@ class Database:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._open: dict[str, Table] = {}
-        try:
-            os.makedirs(folder, exist_ok=True)
-        except OSError as e:
-            raise KVIOError(str(e)) from e
+        self._store = place(spark, folder)
+        self._store.make()
 
     def _path(self, name: str) -> str:
         return os.path.join(self.folder, validate_name(name))
 
     def create_table(self, name: str, **options) -> Table:
         """A new table; an error if anything of that name is there."""
-        if os.path.lexists(self._path(name)):
+        if self._store.exists(validate_name(name)):
             raise TableExistsError(name)
         return self.table(name, **options)
 
@@ -48,19 +45,19 @@ class Database:
     def delete_table(self, name: str) -> None:
         """Renamed first, so the name is gone at once; then removed. Fails if the table is open elsewhere."""
         path = self._path(name)
-        if not os.path.isdir(path):
+        if not self._store.is_folder(name):
             raise TableNotFoundError(name)
         if name in self._open:
             self._open.pop(name).close()
-        lock = TableLock(path)
-        gone = os.path.join(self.folder, f".deleted-{uuid.uuid4().hex}")
-        os.rename(path, gone)
+        lock = place(self.spark, path).lock()
+        gone = f".deleted-{uuid.uuid4().hex}"
+        self._store.rename(name, gone)
         lock.release()
-        shutil.rmtree(gone, ignore_errors=True)
+        self._store.remove(gone)
 
     def list_tables(self) -> list[str]:
         """Sorted names of the folders that hold a table."""
-        return sorted(n for n in os.listdir(self.folder) if os.path.isdir(os.path.join(self.folder, n, "_commits")) and not n.startswith(".deleted-"))
+        return sorted(n for n in self._store.names() if not n.startswith(".deleted-") and self._store.is_folder(f"{n}/_commits"))
 
     def tables_df(self) -> DataFrame:
         return self.spark.createDataFrame([(n,) for n in self.list_tables()], "table_name string")

@@ -10,11 +10,12 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, Observation, SparkSession, functions as F
 
-from ..errors import CorruptDataError, KVIOError
+from ..errors import CorruptDataError
 from ..functions.values import DELETE, LOG
-from .manifest import Mutation, Run, sync_folder
+from .manifest import Mutation, Run
+from .store import Hadoop, Local
 
 OPTIONS = {
     "parquet.bloom.filter.enabled#key": "true",
@@ -52,7 +53,7 @@ def write_run(log: DataFrame, folder: str, unique: bool, partitions: int | None
     try:
         got = seen.get
     except Py4JError:  # a plan found to be empty while it runs drops the observation
-        got = log.sparkSession.read.schema(LOG).parquet(os.path.join(folder, name)).agg(*statistics).first()
+        got = reader(log.sparkSession).parquet(os.path.join(folder, name)).agg(*statistics).first()
     if got["nulls"]:
         raise ValueError("a key is null")
     return Run(name, got["rows"], got["tombstones"], *(None if got[k] is None else bytes(got[k]) for k in ("least", "most")), unique)
@@ -70,7 +71,7 @@ _ARROW = pa.schema(
 )
 
 
-def write_small(entries: list[tuple[int, Mutation]], folder: str) -> Run:
+def write_small(entries: list[tuple[int, Mutation]], store: Local | Hadoop) -> Run:
     """A run of a few mutations, the newest of each key, written by the driver without a job; synced when it returns.
 
     The file is like those of ``write_run``, but has no bloom filter: it is small, and its keys are held while it is looked up.
@@ -85,26 +86,23 @@ def write_small(entries: list[tuple[int, Mutation]], folder: str) -> Run:
     value = pa.StructArray.from_arrays(children, fields, mask=pa.array([m.value is None for _, m in rows]))
     table = pa.table([pa.array(keys, pa.binary()), pa.array([m.op for _, m in rows]), value, pa.array([cv for cv, _ in rows], pa.int64()), pa.array([m.ord for _, m in rows], pa.int32())], schema=_ARROW)
     name = f"runs/{uuid.uuid4().hex}"
-    path = os.path.join(folder, name)
-    try:
-        os.makedirs(path)
-        with open(os.path.join(path, "part-00000.parquet"), "wb") as f:
-            pq.write_table(table, f, compression="zstd", write_page_checksum=True)
-            f.flush()
-            os.fsync(f.fileno())
-        for parent in (path, os.path.dirname(path), folder):
-            sync_folder(parent)
-    except OSError as e:
-        raise KVIOError(f"a flush failed: {e}") from e
+    out = pa.BufferOutputStream()
+    pq.write_table(table, out, compression="zstd", write_page_checksum=True)
+    store.write(f"{name}/part-00000.parquet", out.getvalue().to_pybytes())
     return Run(name, len(rows), sum(m.value is None for _, m in rows), keys[0], keys[-1], True)
 
 
+def reader(spark: SparkSession) -> DataFrameReader:
+    """For runs by their paths as they stand: a table's name may hold what would else be a pattern."""
+    return spark.read.schema(LOG).option("__globPaths__", "false")
+
+
 def read_runs(spark: SparkSession, folder: str, runs: list[Run]) -> DataFrame:
     """All rows of some runs in one scan; page checksums are verified."""
     paths = [os.path.join(folder, r.path) for r in runs if r.rows]
     if not paths:
         return spark.createDataFrame([], LOG)
-    return spark.read.schema(LOG).option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
+    return reader(spark).option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
 
 
 def checked(action):

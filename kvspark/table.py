@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from typing import Any
@@ -15,9 +14,9 @@ from .functions import values as V
 from .functions.bounds import Bound, holds, overlaps, prefix_bounds, within
 from .operators import access, resolve
 from .sources.blocks import ASK_SPARK, BlockCache
-from .sources.lock import TableLock
 from .sources.manifest import Commit, Commits, Mutation, Run, State
-from .sources.runs import checked, read_runs, write_run, write_small
+from .sources.runs import checked, read_runs, reader, write_run, write_small
+from .sources.store import place
 
 #: Bytes of buffered small mutations that trigger a flush, and runs beyond which some are merged.
 BUFFER_BUDGET, MAX_RUNS = 4 << 20, 8
@@ -40,11 +39,12 @@ class Table:
 
     def __init__(self, spark: SparkSession, folder: str, budget: int = BUFFER_BUDGET, max_runs: int = MAX_RUNS):
         self.spark, self.folder, self.budget, self.max_runs = spark, folder, budget, max_runs
-        os.makedirs(folder, exist_ok=True)
-        self._lock = TableLock(folder)
+        self._store = place(spark, folder)
+        self._store.make()
+        self._lock = self._store.lock()
         self._blocks = BlockCache(folder)
         try:
-            self._commits = Commits(folder)
+            self._commits = Commits(self._store)
             self._state: State = self._commits.state()
         except BaseException:
             self._lock.release()
@@ -108,14 +108,13 @@ class Table:
 
     def raw_log_df(self) -> DataFrame:
         """Every mutation still on disk, with ``committed``: false for runs that no commit names (left by a crash)."""
-        root = os.path.join(self.folder, "runs")
-        there = {f"runs/{n}" for n in os.listdir(root)} if os.path.isdir(root) else set()
+        there = {f"runs/{n}" for n in self._store.names("runs")}
         commits = [self._commits.read(v) for v in self._commits.versions()]
         named = {r.path for c in commits for r in c.runs}
         log = self._pending((c.version, m) for c in commits if not c.snapshot for m in c.entries).withColumn("committed", F.lit(True))
         for paths, committed in ((there & named, True), (there - named, False)):
             if paths:
-                rows = self.spark.read.schema(V.LOG).parquet(*(os.path.join(self.folder, p) for p in sorted(paths)))
+                rows = reader(self.spark).parquet(*(os.path.join(self.folder, p) for p in sorted(paths)))
                 log = log.unionByName(rows.withColumn("committed", F.lit(committed)))
         # a flushed entry lies in its commit and in its run
         return log.dropDuplicates(["key", "op", "cv", "ord", "committed"])
@@ -309,7 +308,7 @@ class Table:
 
         run = write_run(log, self.folder, unique=True, merge=last)
         if not run.rows:
-            shutil.rmtree(os.path.join(self.folder, run.path), ignore_errors=True)
+            self._store.remove(run.path)
             return
         self._commit(Commit(self.version + 1, runs=(run,), tag=tag))
         self._maybe_compact()
@@ -325,7 +324,7 @@ class Table:
         """Fold the buffer into a run; nothing to do if it is empty."""
         if not self._state.entries:
             return
-        self._replace((*self._state.runs, write_small(self._state.entries, self.folder)), ())
+        self._replace((*self._state.runs, write_small(self._state.entries, self._store)), ())
         self._maybe_compact()
 
     def _replace(self, runs: tuple[Run, ...], entries: tuple[Mutation, ...]) -> None:
@@ -371,12 +370,11 @@ class Table:
     def vacuum(self) -> list[str]:
         """Delete run folders that the current version doesn't list, and the log before its snapshot; older versions can't be read any more."""
         listed = {r.path for r in self._state.runs}
-        root = os.path.join(self.folder, "runs")
-        gone = [f"runs/{n}" for n in sorted(os.listdir(root)) if f"runs/{n}" not in listed] if os.path.isdir(root) else []
+        gone = [f"runs/{n}" for n in sorted(self._store.names("runs")) if f"runs/{n}" not in listed]
         # the log first: a version whose runs are gone must not be found
-        dropped = [f"_commits/{n}" for n in self._commits.drop_before(self._state.base)]
+        dropped = self._commits.drop_before(self._state.base)
         for path in gone:
-            shutil.rmtree(os.path.join(self.folder, path), ignore_errors=True)
+            self._store.remove(path)
         return gone + dropped
 
 

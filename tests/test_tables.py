@@ -84,6 +84,60 @@ def test_catalog(db):
             db.table(bad)
 
 
+def test_a_database_in_a_store_of_hadoop(spark, tmp_path):
+    with kv.Database(spark, f"file://{tmp_path}/db") as db:
+        t = db.create_table("t", budget=1 << 30, max_runs=100)
+        t.put_batch([(b"%03d" % i, b"old") for i in range(50)])
+        t.flush()
+        t.put_df(frame(spark, [(b"%03d" % i, b"bulk" if i % 3 else None) for i in range(20)]), order="n")
+        t.put(b"001", b"new")
+        t.delete(b"002")
+        want = [(b"%03d" % i, b"new" if i == 1 else b"bulk" if i < 20 else b"old") for i in range(50) if i != 2 and (i % 3 or i >= 20)]
+        assert t.scan() == want and t.get(b"001") == b"new" and t.get(b"003") is None and t.get(b"030") == b"old"
+        # of two writers one's commit fails, and leaves nothing behind
+        other = kv.table.Table(spark, t.folder)
+        assert other.scan() == want
+        t.put(b"x", b"1")
+        with pytest.raises(kv.KVIOError, match="was not published"):
+            other.put(b"y", b"2")
+        other.close()
+        t.delete(b"x")
+        assert not [n for n in os.listdir(tmp_path / "db" / "t" / "_commits") if "tmp" in n]
+        with pytest.raises(kv.TableExistsError):
+            db.create_table("t")
+        db.create_table("gone")
+        assert db.list_tables() == ["gone", "t"]
+        db.delete_table("gone")
+        with pytest.raises(kv.TableNotFoundError):
+            db.delete_table("gone")
+        ghost = t.runs[0].path
+    with kv.Database(spark, db.folder) as db:
+        t = db.table("t")
+        assert db.list_tables() == ["t"] and t.scan() == want
+        t.flush()
+        t.compact()
+        assert t.scan() == want and len(t.runs) == 1
+        assert ghost in t.vacuum() and t.scan() == want
+        commit = sorted(glob.glob(f"{tmp_path}/db/t/_commits/*.json"))[-1]
+        with open(commit, "r+b") as f:
+            f.write(b"!")
+        os.unlink(f"{tmp_path}/db/t/_commits/.{os.path.basename(commit)}.crc")  # Hadoop's own sum of a local file
+    with pytest.raises(kv.CorruptDataError):
+        kv.Database(spark, db.folder).table("t")
+
+
+@pytest.mark.parametrize("name", ["a[1]*{b}?", "50% off", "day: one", "\u00fc 2.x"])
+def test_names_are_no_patterns(spark, tmp_path, name):
+    with kv.Database(spark, f"{tmp_path}/db/") as db:
+        t = db.create_table(name)
+        t.put(b"a", b"1")
+        t.flush()
+        t.put_df(frame(spark, [(b"a", b"2"), (b"b", b"3")]))
+        assert t.scan() == [(b"a", b"2"), (b"b", b"3")] and t.raw_log_df().count() == 3
+        t.compact()
+        assert t.scan() == [(b"a", b"2"), (b"b", b"3")] and db.list_tables() == [name]
+
+
 def test_lock(spark, db):
     db.table("a")
     db.table("b")
