@@ -10,9 +10,9 @@ Keys are shown as text.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,9 +20,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..database import Database
+from ..errors import InvalidTableNameError, TableExistsError
 from ..functions import bounds as B, values as V
 from ..operators import access, resolve
 from ..sources import runs
+from ..sources.store import Hadoop, Local, place
 from ..table import Table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,11 +331,17 @@ def _folder(spark: SparkSession) -> str:
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     folder = f"{re.sub('^file:/+', '/', base)}/kvspark-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="kvspark-")
-    os.makedirs(folder, exist_ok=True)
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    store = place(spark, folder)
+    store.make()
+    atexit.register(_remove, store)
     return folder
 
 
+def _remove(store: Local | Hadoop) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before Python does
+        store.remove("")
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """The typed log in QUARTERS layers by event_id, oldest first."""
     log = _typed_log(spark, sf_dir)
@@ -401,6 +409,98 @@ def engine_auto_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return floats(_touched(t).df())
 
 
+@query(f"WITH {_STATE}, {_ASKED} SELECT CAST(pos AS INTEGER) AS pos, a.key, s.value FROM asked a LEFT JOIN state s ON a.key = s.key")
+def engine_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single lookups over four runs, newest first: by key range, sparse index and block cache, or a pruned scan."""
+    t = engine(spark, sf_dir, QUARTERS)
+    found = [(i, k, t.get_value(k.encode())) for i, k in enumerate(ASKED)]
+    return spark.createDataFrame([(i, k, v and v.data) for i, k, v in found], "pos int, key string, value double")
+
+
+@query(f"WITH {_STATE}, {_ASKED} SELECT CAST(pos AS INTEGER) AS pos, a.key, s.value FROM asked a LEFT JOIN state s ON a.key = s.key")
+def engine_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as a DataFrame: the log is cut down to their keys before it is merged."""
+    found = engine(spark, sf_dir, QUARTERS).multi_get_df(_requests(spark))
+    return shown(found).select("pos", "key", F.col("value.f").alias("value"))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state WHERE key >= '4' AND key < '5'")
+def engine_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix over four runs: those whose keys lie outside aren't opened."""
+    low, high = B.prefix_bounds(b"4")
+    return floats(engine(spark, sf_dir, QUARTERS).df(low=low, high=high))
+
+
+@query("SELECT * FROM (VALUES ('12', 'D', NULL), ('7', 'P', 1.5::DOUBLE), ('new', 'P', 2.5::DOUBLE)) t(key, op, value)")
+def engine_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unflushed layer alone, deletions included."""
+    t = _touched(engine(spark, sf_dir))
+    return shown(t.pending_df().select("key", "op", F.col("value.f").alias("value")))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state WHERE key NOT IN ('7', '12') UNION ALL VALUES ('7', 3.5::DOUBLE), ('new', 2.5::DOUBLE)")
+def engine_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puts, a deletion and an overwrite, committed in one piece; the value written last was read within the transaction."""
+    t = engine(spark, sf_dir)
+    with t.transaction() as x:
+        x.set_value(b"7", 2.5)
+        x.delete_value(b"12")
+        x.set_value(b"new", x.get_value(b"7").data)
+        x.set_value(b"7", x.get_value(b"7").data + 1.0)
+        x.commit()
+    return floats(t.df())
+
+
+@query("WITH first AS (SELECT min(event_id) AS id FROM events GROUP BY user_id % 5) SELECT 'i' || event_id AS key, 'integer' AS kind, CAST(CAST(user_id AS INTEGER) AS VARCHAR) AS value FROM events WHERE event_id IN (FROM first) UNION ALL SELECT 't' || event_id, 'text', event_type FROM events WHERE event_id IN (FROM first) UNION ALL SELECT 'b' || event_id, 'boolean', CAST(value > 50 AS VARCHAR) FROM events WHERE event_id IN (FROM first) UNION ALL SELECT 'd' || event_id, 'bytes', lower(hex(encode(event_type))) FROM events WHERE event_id IN (FROM first)")
+def engine_typed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of four kinds, put one by one, flushed, and read back from the file; floats, deleted again, are not there."""
+    t = Database(spark, _folder(spark)).table("cells")
+    firsts = read(spark, sf_dir, "events").groupBy(F.col("user_id") % 5).agg(F.min_by(F.struct("event_id", "user_id", "event_type", "value"), "event_id").alias("e"))
+    for e in firsts.select("e.*").collect():  # five rows
+        cells = {"i": e.user_id, "t": e.event_type, "b": e.value > 50, "d": e.event_type.encode(), "f": e.value}
+        for k, v in cells.items():
+            t.set_value(f"{k}{e.event_id}".encode(), v)
+        t.delete_value(f"f{e.event_id}".encode())
+    t.flush()
+    v = F.col("value")
+    text = F.coalesce(v["i"].cast("string"), v["t"], v["b"].cast("string"), F.lower(F.hex(v["d"])), v["f"].cast("string"))
+    return shown(t.scan_range().select("key", v["kind"].alias("kind"), text.alias("value")))
+
+
+@query(f"WITH {_TOUCHED}")
+def engine_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a merge the log before it and the merged runs are cleared; the state, opened again, is the same."""
+    t = _touched(engine(spark, sf_dir, QUARTERS))
+    t.flush()
+    t.compact()
+    t.vacuum()
+    t.close()
+    return floats(Table(spark, t.folder).df())
+
+
+@query(f"WITH {_QUARTERED} SELECT CAST(layer AS INTEGER) AS layer, count(*) AS rows, count(*) FILTER (op = 'D') AS tombstones FROM (SELECT layer, key, arg_max(op, event_id) AS op FROM layered GROUP BY layer, key) GROUP BY layer")
+def engine_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest knows of each run, observed while it was written."""
+    return engine(spark, sf_dir, QUARTERS).run_stats().select("layer", "rows", "tombstones")
+
+
+@query(f"WITH {_QUARTERED}, e AS (SELECT key, arg_max({{'op': op, 'value': value}}, event_id) AS e FROM layered WHERE layer < 2 GROUP BY key) SELECT key, e.value AS value FROM e WHERE e.op = 'P'")
+def engine_older_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after the second of four batches."""
+    return floats(engine(spark, sf_dir, QUARTERS).df(version=2))
+
+
+@query(f"WITH {_STATE} SELECT * FROM state")
+def engine_in_a_hadoop_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table addressed by a URI, so that commits go through Hadoop's file systems."""
+    folder = _folder(spark)
+    t = Database(spark, f"file://{folder}" if folder.startswith("/") else folder).table("events")
+    for part in _parts(spark, sf_dir):
+        t.put_df(part, order="cv")
+    t.close()
+    return floats(Table(spark, t.folder).df())
+
+
 @query(f"WITH {_STATE} SELECT * FROM state")
 def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four runs merged into one without deletions; reading it needs no merge."""
@@ -482,6 +582,19 @@ def byte_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(resolve.state(log).select("key", F.hex(V.byte_view()).alias("value")))
 
 
+@query("SELECT DISTINCT event_type AS table_name FROM events WHERE event_type <> 'error'")
+def tables_on_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each type of event, created when it is asked for; names that are taken or no names are refused."""
+    with Database(spark, _folder(spark)) as db:
+        for r in read(spark, sf_dir, "events").select("event_type").distinct().collect():  # a handful
+            db.table(r.event_type).put(b"made", b"1")
+            for name in (r.event_type, "", ".", "..", f"a/{r.event_type}"):
+                with contextlib.suppress(TableExistsError, InvalidTableNameError):
+                    db.create_table(name)
+        db.delete_table("error")
+        return db.tables_df()
+
+
 @query("SELECT * FROM (VALUES ('orders'), ('users 2.x')) t(table_name)")
 def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Database(spark, _folder(spark)) as db:
