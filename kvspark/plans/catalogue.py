@@ -550,7 +550,11 @@ def memtable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_typed_log(spark, sf_dir).withColumn("bytes", V.footprint()).groupBy("key").agg(F.sum("bytes").alias("bytes")))
 
 
-@query()
+@query(
+    "WITH steps AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)), "
+    "content AS (SELECT page_id, hex(encode(html)) AS h FROM pages) "
+    "SELECT page_id, xor(list_reduce([4294967295] || [CAST('0x' || substr(h, 2 * k - 1, 2) AS BIGINT) FOR k IN range(1, length(h) // 2 + 1)], lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM content, steps"
+)
 def block_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IEEE CRC32 of each page's content."""
     return read(spark, sf_dir, "pages").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc"))
