@@ -11,8 +11,8 @@ on every run and every machine, and differs between seeds, documents and places.
 With p = 0 it is the library's own encoding.
 
 Chunks of all documents of a slice are merged in lockstep as arrays, one merge a
-chunk and round; chunks over ``LONG_CHUNK`` characters go through an agenda (a heap)
-instead, so a text without spaces stays O(n log n). Chunks are first cut where two
+chunk and round; chunks over ``LONG_CHUNK`` characters go through an agenda (candidates by
+rank and place) instead, so a text without spaces stays O(n log n). Chunks are first cut where two
 neighbouring characters stand together in no piece, since nothing can merge there.
 A document over ``SLICE_BYTES`` is encoded in pieces between such cuts, with the
 places of its characters counted on.
@@ -25,7 +25,7 @@ a null doc_id hashes as one of its own; repeated rows get the same tokens; an
 empty table gives no rows; other columns are ignored; bytes that aren't UTF-8 are
 read as U+FFFD and told by ``lossless`` false; ids outside the vocabulary and null
 ones decode to nothing. A text of any length is encoded whole: beside it and its ids,
-memory grows with the longest stretch without a cut (about 100 bytes a character;
+memory grows with the longest stretch without a cut (about 50 bytes a character;
 words, numbers and scripts with many characters are cut often, a run of one letter isn't).
 """
 
@@ -48,6 +48,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
 LONG_CHUNK = 256
 SLICE_BYTES = 1 << 17  # what is worked on stays in the cache
+#: Characters or candidates of a long chunk that are turned to arrays or Python numbers at a time.
+AGENDA_BLOCK = 1 << 16
 _U = np.uint64
 _M64 = (1 << 64) - 1
 #: A merge's code: rank, place and id of the merged piece, so that the smallest code is the next merge.
@@ -110,9 +112,13 @@ class Vocabulary:
 
     def apart(self, cp: np.ndarray) -> np.ndarray:
         """For each of the code points but the first: can nothing merge over its start?"""
-        keys = cp[:-1].astype(np.int64) << 21 | cp[1:]
-        at = np.minimum(np.searchsorted(self._near, keys), len(self._near) - 1)
-        return self._near[at] != keys
+        out = np.empty(max(0, len(cp) - 1), bool)
+        for a in range(0, len(out), AGENDA_BLOCK):
+            part = cp[a : a + AGENDA_BLOCK + 1]
+            keys = part[:-1].astype(np.int64) << 21 | part[1:]
+            at = np.minimum(np.searchsorted(self._near, keys), len(self._near) - 1)
+            out[a : a + AGENDA_BLOCK] = self._near[at] != keys
+        return out
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _U(_A)) >> self._shift).astype(np.int64)
@@ -167,31 +173,60 @@ class Dropout:
 
 
 def _agenda(v: Vocabulary, sym: np.ndarray, at: int, drop: Dropout | None, out: np.ndarray) -> None:
-    """Merge one chunk, which begins at character ``at``, with a heap."""
+    """Merge one chunk, which begins at character ``at``, rank by rank.
+
+    Candidates of worse ranks than the one at work wait in arrays by rank, one number each, and are
+    sorted when their rank's turn comes. What a merge offers at this rank or a better one lies beside
+    it and comes next, so the heap of these stays small.
+    """
     n, width = len(sym), v.longest.bit_length()
+    kind = "i" if n < 1 << 31 else "q"
     # a symbol ends where the next one starts
-    ids, nxt, prv = array("i", sym.astype(np.int32).tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    ids, nxt, prv = array("i", sym.astype(np.int32).tobytes()), array(kind, range(1, n + 1)), array(kind, range(-1, n - 1))
     gone = bytearray(n)
-    #: rank, place, and the lengths of the left part and of both: one number each, which sorts like them
-    heap: list[int] = []
+    #: by rank: place, and the lengths of the left part and of both
+    waiting: dict[int, array] = {}
+    for a in range(0, n - 1, AGENDA_BLOCK):
+        i = np.arange(a, min(a + AGENDA_BLOCK, n - 1))
+        code = v.merged(sym[i], sym[i + 1])
+        i, code = i[code != _NONE], code[code != _NONE]
+        if drop and len(i):
+            stay = ~drop.skip(at + i, at + i + 1, at + i + 2)
+            i, code = i[stay], code[stay]
+        rank = (code >> _U(_RANK_AT)).astype(np.int64)
+        order = np.argsort(rank, kind="stable")
+        x = i.astype(np.uint64) << _U(2 * width) | _U(1 << width | 2)
+        each, first = np.unique(rank[order], return_index=True)
+        for r, part in zip(each.tolist(), np.split(x[order], first[1:])):
+            waiting.setdefault(r, array("Q")).frombytes(part.tobytes())
+    ranks = list(waiting)
+    heapq.heapify(ranks)
+    soon: list[tuple[int, int]] = []
+    now = -1
 
     def offer(i: int) -> None:
         j = nxt[i]
         if j >= n:
             return
         new = v.pairs.get((ids[i], ids[j]))
-        if new is not None and not (drop and drop.skip_one(at + i, at + j, at + nxt[j])):
-            heapq.heappush(heap, (((new >> _RANK_AT) << 40 | i) << width | j - i) << width | nxt[j] - i)
+        if new is None or drop and drop.skip_one(at + i, at + j, at + nxt[j]):
+            return
+        r, x = new >> _RANK_AT, (i << width | j - i) << width | nxt[j] - i
+        if r <= now:
+            heapq.heappush(soon, (r, x))
+        elif r in waiting:
+            waiting[r].append(x)
+        else:
+            waiting[r] = array("Q", (x,))
+            heapq.heappush(ranks, r)
 
-    for i in range(n - 1):
-        offer(i)
     part = (1 << width) - 1
-    while heap:
-        x = heapq.heappop(heap)
-        i = x >> 2 * width & (1 << 40) - 1
+
+    def merge(x: int) -> None:
+        i = x >> 2 * width
         j = i + (x >> width & part)
         if gone[i] or nxt[i] != j or j >= n or nxt[j] != i + (x & part):
-            continue
+            return
         ids[i], gone[j] = v.pairs[ids[i], ids[j]] & _ID, 1
         nxt[i] = nxt[j]
         if nxt[i] < n:
@@ -199,6 +234,18 @@ def _agenda(v: Vocabulary, sym: np.ndarray, at: int, drop: Dropout | None, out:
         if prv[i] >= 0:
             offer(prv[i])
         offer(i)
+
+    while ranks:
+        now = heapq.heappop(ranks)
+        turn = np.frombuffer(waiting.pop(now), np.uint64).copy()
+        turn.sort()
+        for a in range(0, len(turn), AGENDA_BLOCK):
+            for x in turn[a : a + AGENDA_BLOCK].tolist():
+                while soon and soon[0] < (now, x):
+                    merge(heapq.heappop(soon)[1])
+                merge(x)
+        while soon:
+            merge(heapq.heappop(soon)[1])
     left = np.flatnonzero(np.frombuffer(gone, np.uint8) == 0)
     out[at + left] = np.frombuffer(ids, np.int32)[left]
 
@@ -283,8 +330,8 @@ def encode_slice(v: Vocabulary, s: vt.Slice, doc_keys: np.ndarray, dropout: floa
         lengths = np.diff(np.append(starts, len(cp)))
     drop = None
     if dropout > 0:
-        drop = Dropout(dropout, seed, doc_keys, np.repeat(np.arange(s.n), np.diff(off)), off[:-1] - begun)
-    out = np.full(len(cp), -2, np.int64)
+        drop = Dropout(dropout, seed, doc_keys, np.repeat(np.arange(s.n, dtype=np.int32), np.diff(off)), off[:-1] - begun)
+    out = np.full(len(cp), -2, np.int32)
     short = lengths <= LONG_CHUNK
     if short.any():
         _lockstep(v, sym, starts[short], lengths[short], drop, out)

@@ -519,7 +519,9 @@ def test_without_dropout_it_is_the_library(ts):
     assert encoded(ts, 0.0)[0] == [lib.encode(t) for t in ts]
 
 
-def test_heap_and_lockstep_agree(monkeypatch):
+@pytest.mark.parametrize("block", [5, 1 << 16])
+def test_agenda_and_lockstep_agree(monkeypatch, block):
+    monkeypatch.setattr(sp, "AGENDA_BLOCK", block)
     ts = ["the thinking theatre " * 20, "x" * 700 + " abcabc" * 3, "éèñ the\n\t  deep   spaces ", "ab" * 600]
     for p in (0.0, 0.2, 0.6):
         monkeypatch.setattr(sp, "LONG_CHUNK", 10**9)
