@@ -12,17 +12,26 @@ each family's n-grams, so a text's length doesn't move it.
 
 from __future__ import annotations
 
+import math
+import tempfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import vectext as vt
-from .work import smallest_hashes, texts
+from .work import kept, removed, smallest_hashes, texts
 
 BUCKETS = 1 << 16
 FAMILIES = 3
+#: Entries (8 bytes) of a sample's features that the driver holds; more of them lie in a file of its own.
+HELD_ENTRIES = 1 << 22
+#: Entries of a sample that come to the driver in one job, and that a worker hands on at a time.
+PART_ENTRIES = 1 << 21
+#: Rows of a file with more entries are written with all their columns, which are gone through faster.
+DENSE_ENTRIES = BUCKETS * FAMILIES // 8
 _U = np.uint64
 
 
@@ -136,7 +145,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, values:
     same on every run. A label repeated for an id counts once (if its values differ,
     the smallest holds), and so does a text (the smallest holds). What comes to the
     driver is bounded by ``per_value``, never by the corpus: a row of sparse features
-    an id, BUCKETS * FAMILIES entries of 8 bytes at most, no texts.
+    an id, BUCKETS * FAMILIES entries of 8 bytes at most, no texts. Where that is over
+    HELD_ENTRIES, as with long documents, it comes in parts and goes to a file
+    (of BUCKETS * FAMILIES * 4 bytes a row at most).
     Returns rows (doc_id, y, cols, vals) sorted by doc_id.
     """
     lab = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), target.cast("int").alias("y")).filter(F.col("y").isin(list(values)) & F.col("doc_id").isNotNull())
@@ -151,20 +162,67 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, values:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = list(sparse_rows(b.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("y"), pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.binary())],
-                ["doc_id", "y", "cols", "vals"],
-            )
-
-    return sorted(rows.mapInArrow(work, "doc_id bigint, y int, cols binary, vals binary").collect(), key=lambda r: r.doc_id)
+            done, got, held = 0, [], 0
+            for row in sparse_rows(b.column("text")):
+                got.append(row)
+                held += len(row[0]) // 4
+                if done + len(got) == b.num_rows or held >= PART_ENTRIES:
+                    at = b.slice(done, len(got))
+                    sizes = pa.array([len(x) // 4 for x, _ in got], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [at.column("doc_id"), at.column("y"), sizes, pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.binary())],
+                        ["doc_id", "y", "n", "cols", "vals"],
+                    )
+                    done, got, held = done + len(got), [], 0
+
+    found, path = kept(rows.mapInArrow(work, "doc_id bigint, y int, n bigint, cols binary, vals binary"))
+    entries = found.agg(F.sum("n")).first()[0] or 0
+    if entries <= HELD_ENTRIES:
+        out = found.select("doc_id", "y", "cols", "vals").collect()
+    else:
+        out = _filed(found.repartition(math.ceil(entries / PART_ENTRIES), "doc_id").toLocalIterator())
+    removed(docs.sparkSession, path)
+    return sorted(out, key=lambda r: r.doc_id)
+
+
+class Sampled(NamedTuple):
+    """A labelled row whose features lie in a file; without ``cols``, ``vals`` has all columns."""
+
+    doc_id: int
+    y: int
+    cols: np.ndarray | None
+    vals: np.ndarray
+
+
+def _filed(rows: Iterator) -> list[Sampled]:
+    """The rows, their features in a file of the driver's that goes with them."""
+    places, at = [], 0
+    with tempfile.TemporaryFile() as f:
+        for r in rows:
+            cols, vals = np.frombuffer(r.cols, np.int32), np.frombuffer(r.vals, np.float32)
+            dense = len(cols) > DENSE_ENTRIES
+            if dense:
+                every = np.zeros(BUCKETS * FAMILIES, np.float32)
+                every[cols] = vals
+                cols, vals = cols[:0], every
+            f.write(cols.tobytes())
+            f.write(vals.tobytes())
+            places.append((r.doc_id, r.y, dense, at, at + len(cols), at + len(cols) + len(vals)))
+            at = places[-1][-1]
+        f.flush()
+        whole = np.asarray(np.memmap(f, np.int32, "r"))
+    return [Sampled(i, y, None if dense else whole[a:b], whole[b:c].view(np.float32)) for i, y, dense, a, b, c in places]
 
 
 class Design:
-    """Rows of sparse shares with the products that gradient descent needs."""
+    """Rows of sparse shares with the products that gradient descent needs. Rows that lie in a file are gone
+    through one by one; they are never all in memory."""
 
     def __init__(self, rows: list):
         self.y = np.array([r.y for r in rows], np.int64)
+        self.filed = rows if any(isinstance(r, Sampled) for r in rows) else None
+        if self.filed:
+            return
         parts = [np.frombuffer(bytes(r.cols), np.int32) for r in rows]
         self.col = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.val = np.concatenate([np.frombuffer(bytes(r.vals), np.float32) for r in rows]).astype(np.float64) if parts else np.zeros(0)
@@ -172,9 +230,20 @@ class Design:
         self.row = np.repeat(np.arange(len(parts)), np.diff(self.off))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
+        if self.filed:
+            w4 = w.astype(np.float32)
+            return np.array([w4 @ r.vals if r.cols is None else (w.take(r.cols) * r.vals).sum() for r in self.filed], np.float64)
         return vt.segment_sum(w[self.col] * self.val, self.off)
 
     def back(self, g: np.ndarray) -> np.ndarray:
+        if self.filed:
+            total, one = np.zeros(BUCKETS * FAMILIES), np.zeros(BUCKETS * FAMILIES)
+            for r, x in zip(self.filed, g):
+                if r.cols is None:
+                    total += np.multiply(r.vals, x, out=one)
+                else:
+                    total[r.cols] += r.vals * x  # a row names a column once
+            return total
         return np.bincount(self.col, self.val * g[self.row], BUCKETS * FAMILIES)
 
 

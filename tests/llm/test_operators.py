@@ -140,6 +140,34 @@ def test_quality_rules_learn_and_keep(spark):
     assert qr.keep(docs, model).columns == docs.columns
 
 
+def test_a_sample_of_long_documents_comes_in_parts(spark, monkeypatch):
+    """Its features don't come to the driver in one piece, and the models are the same."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"{'good' if i % 3 else 'poor'}{k}" for k in rng.integers(0, 3000, 20 + 900 * (i % 2))) for i in range(60)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 1)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    whole = [m.fit(docs, labels) for m in (qr, qc)]
+    for name, value in (("HELD_ENTRIES", 4000), ("PART_ENTRIES", 3000), ("DENSE_ENTRIES", 2000)):
+        monkeypatch.setattr(ht, name, value, raising=False)
+    frame = type(docs)
+    came, collect = [], frame.collect
+
+    def seen(self):
+        rows = collect(self)
+        came.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", seen)
+    parts = [m.fit(docs, labels) for m in (qr, qc)]
+    assert max(came) <= 8 * 4000
+    rows = ht.labelled_sample(docs, labels, F.col("quality"), (0, 1), 1000)
+    assert [r.doc_id for r in rows] == list(range(60)) and {r.cols is None for r in rows} == {True, False}
+    for a, b in zip(whole, parts):
+        np.testing.assert_allclose(a.weights, b.weights, rtol=0.02, atol=0.02)
+    scores = [[r.p_tail for r in qc.score(docs, m).orderBy("doc_id").collect()] for m in (whole[1], parts[1])]
+    np.testing.assert_allclose(*scores, atol=1e-3)
+
+
 def test_quality_rules_awkward(spark):
     docs = docs_of(spark, AWKWARD)
     no_model = qr.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
