@@ -17,8 +17,9 @@ template's pairs, or the paragraph (of ``MIN_PAIRS`` or more, as when a licence
 wrapped into lines) consists of the template's pairs to that part. Pairs keep the
 order, and the stretch keeps words that are strewn over a longer paragraph from counting.
 
-The scan uses DataFrame functions only: one pass, no shuffle, no Python. Paragraphs
-without any of ``STEMS`` are no licence paragraphs, by definition.
+The scan uses DataFrame functions only: one pass, no shuffle, no Python. Every paragraph
+is judged, whatever words it holds; the classifier is spared those with fewer of the
+templates' pairs than any template could be confirmed by.
 
 Defined cases: null and empty texts have no paragraphs; equal rows and equal
 paragraphs give a row each; ties between families go to the first by name; an
@@ -212,14 +213,18 @@ PROSE = [
     "The license of this work is held by the publisher, and the rights have been sold.",
     "the license", "this work", "under the terms of the", "use of this file", "version 2.0", "the public", "rights", "reserved", "permission", "license",
 ]
-#: A licence paragraph holds one of these.
-STEMS = ["licen", "copyright", "reserved", "warrant", "permi", "redistribut", "liab", "public domain", "creative commons", "sublicens", "cc0", "cc by", "cc-by", "mpl", "derivative works", "proprietary", "free to copy", "damages"]
+#: Paragraphs of the corpus with one of these might be licences, so they aren't taken as examples of no licence.
+HINTS = ["licen", "copyright", "reserved", "warrant", "permi", "redistribut", "liab", "public domain", "creative commons", "sublicens", "cc0", "cc by", "cc-by", "mpl", "derivative works", "proprietary", "free to copy", "damages"]
 
 
 def words_of(line: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", line.lower())
 
 
+#: A licence paragraph holds one of these, since it holds pairs of them.
+STEMS = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+
+
 def pairs_of(line: str) -> list[str]:
     w = words_of(line)
     return [f"{a} {b}" for a, b in zip(w, w[1:])]
@@ -328,19 +333,22 @@ def train(unknown: list[list[str]], templates: dict[str, list[str]] = TEMPLATES)
 
 def fit(docs: DataFrame) -> LicenceModel:
     """Train with paragraphs of the corpus as ``unknown``: SAMPLE_PARAGRAPHS at most, chosen by hashes of document and
-    place. Paragraphs that might be licences (with one of STEMS) aren't among them."""
+    place. Paragraphs that might be licences (with one of HINTS, or made of the templates' pairs) aren't among them."""
     some = smallest_hashes(docs.select("doc_id", "text"), docs.count(), SAMPLE_PARAGRAPHS, "doc_id")
-    lines = some.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).filter((F.trim("line") != "") & ~_stemmed(F.col("line")))
-    known = lines.select("doc_id", "at", _known(_words(F.substring("line", 1, STRETCH)), vocabulary_of(TEMPLATES)).alias("known"))
+    lines = some.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).filter((F.trim("line") != "") & ~_hinted(F.col("line")))
+    words = lines.select("doc_id", "at", _once(_words(F.substring("line", 1, STRETCH))).alias("words"))
+    m = F.size("words") - 1
+    prose = words.filter((m < MIN_PAIRS) | (_pairs_held(F.col("words"), TEMPLATES) < MIN_SIMILARITY * m))
+    known = prose.select("doc_id", "at", _known(F.col("words"), vocabulary_of(TEMPLATES)).alias("known"))
     few = known.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "known").limit(SAMPLE_PARAGRAPHS)
     # as many features as the templates have, at most, from each
     return train([list(r.known) for r in few.collect()])
 
 
-def _stemmed(line: Column) -> Column:
+def _hinted(line: Column) -> Column:
     found = F.lit(False)
-    for stem in STEMS:
-        found = found | F.contains(line, F.lit(stem))
+    for hint in HINTS:
+        found = found | F.contains(line, F.lit(hint))
     return found
 
 
@@ -356,6 +364,19 @@ def _known(words: Column, vocabulary: list[str]) -> Column:
     return F.array_intersect(F.concat(words, _pairs(words)), _constant(vocabulary, "array<string>"))
 
 
+def _pairs_held(words: Column, templates: dict[str, list[str]]) -> Column:
+    """How many of the pairs are any template's."""
+    own = sorted({p for ts in templates.values() for t in ts for p in pairs_of(t)})
+    return F.size(F.filter(_pairs(words), lambda p: p.isin(own)))
+
+
+def least_pairs(templates: dict[str, list[str]], min_similarity: float) -> int:
+    """No paragraph with fewer of the templates' pairs is confirmed: by ``similarity``, a stretch needs that
+    part of a template's pairs, and a paragraph made of them that part of MIN_PAIRS at least."""
+    sizes = {MIN_PAIRS} | {len(set(pairs_of(t))) for ts in templates.values() for t in ts}
+    return min(next((k for k in range(n + 1) if k / n >= min_similarity), n) for n in sizes if n)
+
+
 def _constant(data: list, kind: str) -> Column:
     """A nested constant as one expression, which the optimizer folds to a literal."""
     return F.from_json(F.lit(json.dumps(data)), kind)
@@ -375,10 +396,11 @@ def _stretches(line: Column) -> Column:
 
 def scan(docs: DataFrame, model: LicenceModel, min_probability: float = MIN_PROBABILITY, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """doc_id, paragraph and stretch of it (from 0), family, probability, similarity: a row for each confirmed licence paragraph."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("paragraph", "line")).filter(_stemmed(F.col("line")))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("paragraph", "line"))
     lines = lines.select("doc_id", "paragraph", F.posexplode(_stretches(F.col("line"))).alias("stretch", "line"))
     at = ["doc_id", "paragraph", "stretch"]
     words = lines.select(*at, _once(_words(F.col("line"))).alias("words")).filter("size(words) > 1")
+    words = words.filter(_pairs_held(F.col("words"), model.templates) >= least_pairs(model.templates, min_similarity))
     known = words.select(*at, "words", _once(_known(F.col("words"), model.vocabulary)).alias("known"))
     vocabulary = _constant(model.vocabulary, "array<string>")
     placed = known.select(*at, "words", _once(F.transform("known", lambda f: F.array_position(vocabulary, f))).alias("at"))

@@ -430,6 +430,24 @@ def test_licence_scan_equals_plain_model(spark):
     assert [mine.get(first + i) for i in range(len(lines) - first)] == [f for f, ts in licenses.TEMPLATES.items() for _ in ts]
 
 
+#: Lines of wrapped licences that hold no word that only licences use.
+WRAPPED = [
+    ("to deal in the Software without restriction, including without limitation the rights to use,", "mit"),
+    ("reproduce, prepare Derivative Works of, publicly display, publicly perform,", "apache-2.0"),
+    ("GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)", "bsd"),
+    ("publish, use, compile, sell, or distribute this software, either in source code form or as a compiled", "unlicense"),
+]
+
+
+def test_licence_scan_judges_every_paragraph(spark):
+    docs = spark.createDataFrame([(1, "\n".join(x for x, _ in WRAPPED))], "doc_id bigint, text string")
+    model = licenses.fit(docs)
+    got = {r.paragraph: (r.family, round(r.probability, 6), round(r.similarity, 6)) for r in licenses.scan(docs, model).collect()}
+    p = [model.probabilities(x) for x, _ in WRAPPED]
+    assert got == {k: (f, round(float(p[k].max()), 6), round(max(licenses.similarity(x, t) for t in licenses.TEMPLATES[f]), 6)) for k, (x, f) in enumerate(WRAPPED)}
+    assert licenses.least_pairs(licenses.TEMPLATES, licenses.MIN_SIMILARITY) == 2
+
+
 def test_licences_on_lines_that_are_no_templates(spark):
     model = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     got = [(want, (plain_scan(model, line) or (None,))[0]) for line, want in LICENCE_LINES]
