@@ -3,7 +3,8 @@
 Fingerprint: the text with A-Z in lower case, words (runs of characters other
 than space and U+0009-U+000D), 3-word shingles with repeats joined by single
 spaces (fewer words: the whole sequence; no word: fingerprint 0). A bit is 1 if
-it is set in over half of the shingles' XXH64 (seed 42).
+it is set in over half of the shingles' XXH64 (seed 42). A text of any length is
+read whole, a long one in pieces, so that few of its words are held at a time.
 
 Links: two fingerprints with at most ``MAX_DISTANCE`` = 3 differing bits. The 64
 bits are split into 6 blocks; two linked fingerprints agree on 3 blocks at least,
@@ -43,6 +44,8 @@ from . import vectext as vt
 from .work import join_once, kept, removed, saved, texts
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 3
+#: Bytes of a text whose words are held at a time.
+PIECE_BYTES = 1 << 18
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 #: Distinct fingerprints under one key that are still compared pair by pair. Hubs send 33 + 529 rows a member, pairs
 #: cost half the members in comparisons where they lie.
@@ -51,21 +54,47 @@ HEAVY = 512
 BROADCAST_KEYS, WAYS = 500_000, 16
 
 
-def fingerprint(text: bytes) -> int:
-    """Fingerprint of a text's UTF-8 bytes, unsigned."""
-    words = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
+def _pieces(b: np.ndarray) -> Iterator[bytes]:
+    """The bytes in order, cut after white space; more than twice PIECE_BYTES only where a word is as long."""
+    at = stop = 0
+    while at < len(b):
+        white = ()
+        while stop < len(b) and not len(white):
+            first, stop = stop, min(stop + PIECE_BYTES, len(b))
+            white = () if stop == len(b) else np.flatnonzero(vt.WHITE[b[first:stop]])
+        end = len(b) if stop == len(b) else first + int(white[-1]) + 1
+        yield b[at:end].tobytes()
+        at = end
+
+
+def _hashes(words: list[bytes], k: int) -> np.ndarray:
+    """XXH64 of each k words in a row."""
     flat = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
-    k = min(SHINGLE, len(words))
     starts = [0, *ends[: len(words) - k].tolist()]
     stops = (ends[k - 1 :] - 1).tolist()
-    h = np.array([xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, stops)], ">u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return np.array([xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, stops)], ">u8")
+
+
+def fingerprint(text: bytes | np.ndarray) -> int:
+    """Fingerprint of a text's UTF-8 bytes, unsigned. Gone through in pieces; two words are carried over each cut."""
+    ones, n, last = np.zeros(64, np.int64), 0, []
+
+    def add(h: np.ndarray) -> int:
+        for i in range(0, len(h), 1 << 16):
+            ones[:] += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        return len(h)
+
+    for piece in _pieces(np.frombuffer(text, np.uint8)):
+        words = last + piece.lower().split()  # bytes: A-Z and ASCII white space only
+        if len(words) >= SHINGLE:
+            n += add(_hashes(words, SHINGLE))
+        last = words[1 - SHINGLE :]
+    if not n:
+        if not last:
+            return 0
+        n = add(_hashes(last, len(last)))
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def _name(docs: DataFrame) -> list[F.Column]:
@@ -83,7 +112,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         done = 0
         for b in batches:
             data, off = vt.string_buffers(b.column("text"))
-            fps = [fingerprint(data[i:j].tobytes()) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            fps = [fingerprint(data[i:j]) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
             salt = pa.array(np.arange(done, done + len(fps)))
             done += len(fps)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), salt, b.column("r1"), b.column("r2")], ["doc_id", "fp", "salt", "r1", "r2"])

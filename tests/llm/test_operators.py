@@ -266,6 +266,31 @@ def plain_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+LONG_FINGERPRINT = """
+import resource
+from kvspark.llm import simhash
+text = (b"Some words of ONE text, and a b c of it\\n" * (24 << 20 >> 5))[: 24 << 20]
+simhash.fingerprint(text[:1000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert simhash.fingerprint(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_a_long_text_is_fingerprinted_in_pieces(monkeypatch):
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", LONG_FINGERPRINT], cwd=__file__.rsplit("/tests/", 1)[0], capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 150, out.stdout
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("aB é\n\t#"), n)) for n in range(60)] + ["x" * 50, "x" * 50 + " y", " " * 50, "a b " + "x" * 50 + " c"]
+    for size in (1, 2, 5, 16):
+        monkeypatch.setattr(simhash, "PIECE_BYTES", size, raising=False)
+        assert [simhash.fingerprint(t.encode()) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
 def plain_components(fps, ids):
     root = list(range(len(fps)))
 
