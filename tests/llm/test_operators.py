@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from kvspark.llm import hashed_text as ht, html_extract as hx, licenses, mixing, quality_classifier as qc, quality_rules as qr, sentencepiece_codec as sp, simhash, token_counts as tc, topk, url_filter as uf, vectext as vt, work
+from kvspark.llm import hashed_text as ht, html_extract as hx, licenses, mixing, quality_classifier as qc, quality_rules as qr, queries, sentencepiece_codec as sp, simhash, token_counts as tc, topk, url_filter as uf, vectext as vt, work
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -746,6 +746,21 @@ def test_url_rules_with_nulls_and_clashing_columns(spark, limit):
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()} == want
 
 
+def test_url_query_has_the_rules_of_its_contract(spark, tmp_path):
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://example.com/en/71": ("example.com/en/7", "allow"),
+        "http://a.net/de/1": ("net/de/", "allow"),
+        "http://www.example.net/de/7": ("net/de/", "allow"),
+        "http://www.example.net/de/81": ("example.net/de/8", "block"),
+        "http://a.org/es/": ("org/es/", "block"),
+        "http://a.org/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.QUERIES["op8_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 # --- 9 quality classifier -------------------------------------------------------------------
 
 
